@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenspark.llm import queries_a, queries_b, queries_c, queries_d
+from lumenspark.llm import queries_a, queries_b, queries_c, queries_d, queries_e
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for module in (queries_a, queries_b, queries_c, queries_d):
+for module in (queries_a, queries_b, queries_c, queries_d, queries_e):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
