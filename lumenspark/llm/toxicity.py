@@ -26,7 +26,7 @@ from lumenspark.llm.common import sliced, stored
 
 #: Labelled examples of each class; features kept; fewest examples of a feature; neighbours asked; examples of a block.
 EXAMPLES = 2000
-FEATURES = 4096
+FEATURES = 2048
 LEAST_EXAMPLES = 3
 NEIGHBOURS = 15
 BLOCK = 64
