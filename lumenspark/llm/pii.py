@@ -33,7 +33,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Tokens of a segment at most; tokens to each side of a place; how far a path must be above none to be believed.
-SPAN = 24
+SPAN = 44
 AROUND = 6
 MARGIN = 1.0
 #: Training: sentences of each sort, rounds, step, weight of the squares.
@@ -77,8 +77,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-#: Places where a segment could be. Each segment must hold one of them.
-PLACES = re.compile(r"[0-9](?:[ ().:/_-]{0,2}[0-9]){6}|@|(?<![A-Za-z0-9])[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]{2,}|(?<=[A-Za-z0-9] )(?:at|AT)(?= [A-Za-z0-9.-]+ (?:dot|DOT) [A-Za-z])|[\[({]\s?(?:at|AT)\s?[\])}]")
+#: Places around which segments are looked for.
+PLACES = re.compile(r"[0-9](?:[ ().:/_-]{0,3}[0-9]){6}|@|(?<![A-Za-z0-9])[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]{2,}|(?<=[A-Za-z0-9] )(?:at|AT)(?= [A-Za-z0-9.-]+ (?:dot|DOT) [A-Za-z])|[\[({]\s?(?:at|AT)\s?[\])}]")
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.DOTALL)
 MARKS = frozenset("+-().:/_@[]{} %")
 #: Words before a span that say what it is.
@@ -95,24 +95,22 @@ class Part:
     features: list[list[str]]
 
 
-def part_of(text: str, first: int, last: int, places: list[tuple[int, int]]) -> Part:
-    """The part from ``first`` to ``last``, with the segments that hold one of ``places``."""
+def part_of(text: str, first: int, last: int) -> Part:
+    """The part from ``first`` to ``last``, with the segments that could be personal data."""
     tokens = [(m.start() + first, m.end() + first, m[0]) for m in TOKEN.finditer(text[first:last])]
     segments, features = [], []
-    for i, (start, _, word) in enumerate(tokens):
+    for i, (_, _, word) in enumerate(tokens):
         if word.isspace() or not (word in "+([" or word[0].isalnum() or word == ":"):
             continue
         for j in range(i, min(len(tokens), i + SPAN)):
-            end, mark = tokens[j][1], tokens[j][2]
+            mark = tokens[j][2]
             if len(mark) > 64 or (not mark[0].isalnum() and mark not in MARKS and not mark == "  "):
                 break
             if mark.isspace() or not (mark[0].isalnum() or mark == ")"):
                 continue
-            if any(start <= a and b <= end for a, b in places):
-                own = span_features(text, tokens, i, j)
-                if own:
-                    segments.append((i, j))
-                    features.append(own)
+            if own := span_features(text, tokens, i, j):
+                segments.append((i, j))
+                features.append(own)
     return Part(tokens, segments, features)
 
 
@@ -238,7 +236,7 @@ def parts_of(text: str, places: list[tuple[int, int]]) -> Iterator[Part]:
             first -= 1
         while last < len(text) and last < places[upto - 1][1] + 2 * reach and text[last].isalnum():
             last += 1
-        yield part_of(text, first, min(last, len(text)), places[at:upto])
+        yield part_of(text, first, min(last, len(text)))
         at = upto
 
 
@@ -247,10 +245,10 @@ def spans(text: str, field: Field) -> list[tuple[int, int, int]]:
     found = base_spans(text)
     taken = sorted((a, b) for _, a, b in found)
     free, at = [], 0
-    for a, b in places_of(text):  # a segment holds a place: one inside a base span can give nothing new
-        while at < len(taken) and taken[at][1] <= a:
+    for a, b in places_of(text):  # one inside a base span gives nothing new
+        while at < len(taken) and taken[at][1] < b:
             at += 1
-        if at == len(taken) or taken[at][0] >= b:
+        if at == len(taken) or taken[at][0] > a:
             free.append((a, b))
     if free:
         more = []
@@ -340,7 +338,7 @@ def trained(seed: int = 5) -> Field:
     names: dict[str, int] = {}
     examples = []
     for text, gold in _sentences(rng):
-        part = part_of(text, 0, len(text), places_of(text))
+        part = part_of(text, 0, len(text))
         ids = [[names.setdefault(f, len(names)) for f in own] for own in part.features]
         right = {(a, b): k for k, a, b in gold}
         target = np.zeros((len(part.segments), len(KINDS)))
