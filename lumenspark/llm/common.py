@@ -65,7 +65,7 @@ def map_rows(frame: DataFrame, schema: str | T.StructType, fn: Callable[[dict[st
     return frame.mapInArrow(run, schema)
 
 
-def sliced(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into slices of about ``most`` bytes, a row at least, so that Python holds little at a time."""
     rows = batch.num_rows
     if not rows:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import fresh_path, map_rows, sliced
+from lumenspark.llm.common import fresh_path, map_rows, sliced, stored
 
 #: Fixed value: white space that a key loses at both ends.
 BLANK = b" \t\n\x0b\x0c\r"
@@ -134,6 +134,18 @@ def reference_counts(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
     return each.groupBy("high", "low").agg(F.sum("refs").alias("refs"))
 
 
+def without_copies(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """The rows of ``docs`` with each text once, at its least key; rows that repeat that key all stay.
+
+    Only the digests of texts that occur twice are joined back, and a copy's rows are told apart by key before.
+    """
+    content = F.coalesce(F.col(text), F.lit(""))
+    marked = docs.withColumns({"_d0": F.xxhash64(content), "_d1": F.xxhash64(F.lit(1), content)})
+    copied = stored(marked.groupBy("_d0", "_d1").agg(F.min(key).alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_d0", "_d1", "_least"), "copied")
+    joined = marked.join(copied, ["_d0", "_d1"], "left")
+    return joined.where(F.col("_least").isNull() | F.col(key).eqNullSafe(F.col("_least"))).select(*[docs[c] for c in docs.columns])
+
+
 def _refreshed(min_docs: int):
     """Brings one shard's filter in line with its counts; was and refs are counts before and after."""
 
@@ -204,8 +216,8 @@ class LineIndex:
         sharded.groupBy("shard").cogroup(old.groupBy("shard")).applyInPandas(_refreshed(self.min_docs), schema).write.parquet(f"{path}/filters")
         return LineIndex(self.spark, path, shards, self.min_docs, self.min_chars)
 
-    def rewrite(self, docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-        """The columns ``keep``, and ``kept`` (the text without shared lines), ``n_lines`` and ``n_dropped``.
+    def rewrite(self, docs: DataFrame, text: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("kept", "n_lines", "n_dropped")) -> DataFrame:
+        """The columns ``keep`` and, by the given names, the text without shared lines, its lines, and those dropped.
 
         Exact for the lines of indexed documents. Null or empty texts are one empty line and keep it; an empty key
         is never dropped; a text that loses all its lines is left empty. Filters beyond BROADCAST bytes are applied
@@ -235,9 +247,9 @@ class LineIndex:
             lines = [(x or b"").split(b"\n") for x in data]
             gone = [np.unpackbits(np.frombuffer(g, np.uint8), count=len(x)) if g else np.zeros(len(x), np.uint8) for g, x in zip(gone, lines, strict=True)]
             kept = [b"\n".join(y for y, g in zip(x, n.tolist(), strict=True) if not g).decode() if n.any() else b"\n".join(x).decode() for x, n in zip(lines, gone, strict=True)]
-            return rows | {"kept": kept, "n_lines": [len(x) for x in lines], "n_dropped": [int(n.sum()) for n in gone]}
+            return rows | dict(zip(names, (kept, [len(x) for x in lines], [int(n.sum()) for n in gone]), strict=True))
 
-        schema = "".join(f"`{c}` {now.schema[c].dataType.simpleString()}, " for c in keep) + "kept string, n_lines bigint, n_dropped bigint"
+        schema = "".join(f"`{c}` {now.schema[c].dataType.simpleString()}, " for c in keep) + f"`{names[0]}` string, `{names[1]}` bigint, `{names[2]}` bigint"
         return map_rows(now, schema, finish)
 
     def _marked(self, docs: DataFrame, keep: list[str], filters: dict[int, tuple[int, bytes, bytes]]) -> DataFrame:

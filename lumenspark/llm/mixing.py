@@ -167,7 +167,7 @@ class Mix:
         return met.join(targets, F.col("sid") == F.col("k")).select("kept.*", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
     def texts(self, text: str) -> DataFrame:
-        """The kept columns, epoch and ``text`` cut to the words that the mix takes in that epoch; none, no row.
+        """The kept columns for each epoch, ``text`` cut to the words that the mix takes in that epoch; none, no row.
 
         A document that an epoch takes whole keeps its text as it is; otherwise words keep the white space behind them.
         ``text`` must be among the kept columns.
@@ -178,7 +178,7 @@ class Mix:
         some = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(F.col("tokens"), (r["from"] + 1).cast("int"), (r.upto - r["from"]).cast("int")))), "")
         met = met.withColumn("tokens", F.when(F.col("taken") < F.col("size"), tokens))
         made = F.when(F.col("taken") < F.col("size"), some).otherwise(F.col(f"kept.{text}"))
-        return met.withColumn("made", made).select(*[F.col("made").alias(c) if c == text else F.col(f"kept.{c}").alias(c) for c in self.placed.schema["kept"].dataType.names], "epoch")
+        return met.withColumn("made", made).select(*[F.col("made").alias(c) if c == text else F.col(f"kept.{c}").alias(c) for c in self.placed.schema["kept"].dataType.names])
 
     def blocks(self, text: str) -> DataFrame:
         """(shard, sid, epoch, block, text): the output itself, each slot with the text of its block, cut to its words.

@@ -1,12 +1,12 @@
 """SimHash near-duplicates by anchor-point covering.
 
-A 64-bit fingerprint is cut into blocks; two fingerprints that differ in at most ``bits`` places differ in at most
-one place of some block when there are more than bits / 2 blocks. The anchors of a block are a covering code:
-the perfect (15, 11) Hamming code on its first 15 places, with all words on the others, whose covering radius is 1.
-A fingerprint has its home at the anchor that it decodes to, and is replicated to the anchors within the covering
-radius plus the block's threshold of one that hold a point one step away. So any two linked fingerprints meet at
-the home of one of them, and each anchor compares what it holds. A step of one changes a block's parity, so only
-words of even parity need be replicated.
+A fingerprint of one or more 64-bit words is cut into blocks; two fingerprints that differ in fewer than twice as many
+places as there are blocks differ in at most one place of some block. The anchors of a block are a covering code: the
+perfect (15, 11) Hamming code on its first 15 places, with all words on the others, whose covering radius is 1. A
+fingerprint has its home at the anchor that it decodes to, and is replicated to the anchors within the covering radius
+plus the block's threshold of one that hold a point one step away. So two such fingerprints meet at the home of one of
+them, and each anchor compares what it holds. A step of one changes a block's parity, so only words of even parity
+need be replicated.
 
 Links found at an anchor leave it as a spanning forest, never as all pairs of a group; components of the forests
 are the components of the links.
@@ -19,30 +19,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import cut, map_rows
+from lumenspark.llm.common import cut, sliced, stored
 from lumenspark.llm.components import components
 
 #: Fixed values of the contract: XXH64's seed, and the length of the perfect code's words.
 SEED = 42
 CODE = 15
+#: For near-duplicates by similarity: words of a shingle and of a fingerprint, blocks, and places that may differ.
+#: Two texts that share 0.8 of their shingles differ in 39 of 256 places on average, with a deviation of 6.
+WIDTH, WORDS, BLOCKS, BITS = 5, 4, 14, 45
 #: Rows of an anchor beyond which its comparisons are dealt to several cells.
 CELL = 8192
 #: Pairs compared at a time.
 PAIRS = 1 << 21
 
 
-def fingerprint(data: bytes | None, width: int) -> int:
-    """The majority of the bits of all shingles' XXH64; 0 for a text without words.
+def shingle_hashes(data: bytes | None, width: int) -> np.ndarray:
+    """XXH64 of each shingle of a text in UTF-8, repeats included; none without words.
 
-    ``data`` is UTF-8. Words are runs of other than ASCII white space, A-Z lower-cased; a shingle is ``width``
-    words joined by a space, or the whole sequence if it is shorter. Ties at half leave a bit 0.
+    Words are runs of other than ASCII white space, A-Z lower-cased; a shingle is ``width`` words joined by a space, or
+    the whole sequence if it is shorter.
     """
     words = data.lower().split() if data else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     if len(words) <= width:
@@ -51,7 +54,21 @@ def fingerprint(data: bytes | None, width: int) -> int:
         starts = [0, *ends[: len(words) - width].tolist()]
         stops = (ends[width - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[i:j], SEED) for i, j in zip(starts, stops, strict=True)), np.uint64, len(starts))
+    return np.fromiter((digest(line[i:j], SEED) for i, j in zip(starts, stops, strict=True)), np.uint64, len(starts))
+
+
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hashes for a fingerprint's k-th word: as they are for the first, permuted by a finalizer for others."""
+    if not k:
+        return hashes
+    x = hashes + np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 of none."""
     set_bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 255 * 256):
         bits = np.unpackbits(hashes[at : at + 255 * 256].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -60,25 +77,33 @@ def fingerprint(data: bytes | None, width: int) -> int:
     return int(np.packbits(set_bits * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str, keep: list[str], width: int) -> DataFrame:
-    """The columns ``keep`` and ``fp``, the fingerprint as a signed bigint. A null text has no words."""
+def fingerprint(data: bytes | None, width: int, words: int = 1) -> list[int]:
+    """One 64-bit word or more; all 0 for a text without words."""
+    hashes = shingle_hashes(data, width)
+    return [majority(mixed(hashes, k)) for k in range(words)]
+
+
+def fingerprints(docs: DataFrame, text: str, keep: list[str], width: int, words: int = 1) -> DataFrame:
+    """The columns ``keep`` and ``fp``, the fingerprint's words as signed bigints. A null text has no words."""
     kept = docs.select(*keep, F.col(text).cast("binary").alias("_data"))
-    schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep) + ", fp bigint"
+    schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep) + ", fp array<bigint>"
 
-    def run(rows: dict[str, list]) -> dict[str, list]:
-        found = np.array([fingerprint(x, width) for x in rows.pop("_data")], np.uint64)
-        return rows | {"fp": found.view(np.int64)}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch):
+                found = np.array([fingerprint(x, width, words) for x in part.column(len(keep)).to_pylist()], np.uint64).reshape(-1, words)
+                offsets = pa.array(np.arange(0, found.size + 1, words, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.ListArray.from_arrays(offsets, pa.array(found.view(np.int64).ravel()))], names=[*keep, "fp"])
 
-    return map_rows(kept, schema, run)
+    return kept.mapInArrow(run, schema)
 
 
-def block_places(bits: int) -> list[tuple[int, int]]:
-    """(first place, places) of the blocks for a threshold: the fewest blocks that leave one with at most one step."""
-    n = bits // 2 + 1
-    if 64 // n < CODE:
-        raise ValueError(f"{bits} bits leave blocks of under {CODE} places")
-    edges = [64 * i // n for i in range(n + 1)]
-    return [(i, j - i) for i, j in zip(edges, edges[1:], strict=False)]
+def block_places(words: int, blocks: int) -> list[tuple[int, int, int]]:
+    """(word, first place, places) of the blocks, as long as can be; none goes from one word into the next."""
+    each = [blocks // words + (k < blocks % words) for k in range(words)]
+    if 64 // max(each) < CODE:
+        raise ValueError(f"{blocks} blocks of {words} words have under {CODE} places")
+    return [(k, 64 * i // n, 64 * (i + 1) // n - 64 * i // n) for k, n in enumerate(each) for i in range(n)]
 
 
 def decode(words: np.ndarray) -> np.ndarray:
@@ -90,19 +115,20 @@ def decode(words: np.ndarray) -> np.ndarray:
     return words ^ flip
 
 
-def anchors(fps: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor, fingerprint, home) for each fingerprint's home and replicas; the anchor's number holds its block."""
-    for k, (first, places) in enumerate(block_places(bits)):
-        words = (fps >> np.uint64(first)) & np.uint64((1 << places) - 1)
+def anchors(fps: np.ndarray, blocks: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(anchor, row, home) for each fingerprint's home and replicas; the anchor's number holds its block."""
+    rows = np.arange(len(fps))
+    for k, (word, first, places) in enumerate(block_places(fps.shape[1], blocks)):
+        words = (fps[:, word] >> np.uint64(first)) & np.uint64((1 << places) - 1)
         name = np.uint64(k << 48)
         home = decode(words)
-        yield name | home, fps, np.ones(len(fps), bool)
+        yield name | home, rows, np.ones(len(fps), bool)
         even = np.bitwise_count(words) % 2 == 0
         near = np.stack([decode(words[even] ^ np.uint64(1 << p)) for p in range(places)], axis=1)
         near.sort(axis=1)
         new = near != home[even][:, None]
         new[:, 1:] &= near[:, 1:] != near[:, :-1]
-        yield name | near[new], np.repeat(fps[even], new.sum(axis=1)), np.zeros(int(new.sum()), bool)
+        yield name | near[new], np.repeat(rows[even], new.sum(axis=1)), np.zeros(int(new.sum()), bool)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,13 +151,15 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[tied], nodes[label[tied]]
 
 
-def links(cell: np.ndarray, fp: np.ndarray, role: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def links(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, role: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Forest of the links within the cells; rows are sorted by cell. Role 1: asks; 2: is asked; 3: both."""
     bounds = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
-    found_a, found_b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     size = np.repeat(np.diff(bounds), np.diff(bounds))
     start = np.repeat(bounds[:-1], np.diff(bounds))
     asks = np.flatnonzero((role & 1 > 0) & (size > 1))
+    asked = role & 2 > 0
+    words = [np.ascontiguousarray(fp[:, k]) for k in range(fp.shape[1])]
     work = np.cumsum(size[asks])
     at = 0
     while at < len(asks):
@@ -143,33 +171,46 @@ def links(cell: np.ndarray, fp: np.ndarray, role: np.ndarray, bits: int) -> tupl
             m = np.minimum(n - low, PAIRS).clip(0)
             i = np.repeat(own, m)
             j = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(start[own] + low, m)
-            near = (np.bitwise_count(fp[i] ^ fp[j]) <= bits) & (fp[i] != fp[j]) & (role[j] & 2 > 0)
+            apart = np.zeros(len(i), np.int64)
+            for word in words:  # most pairs are too far apart after a word or two
+                apart += np.bitwise_count(word[i] ^ word[j])
+                near = apart <= bits
+                if len(words) > 1:
+                    i, j, apart = i[near], j[near], apart[near]
+            near = (apart <= bits) & (node[i] != node[j]) & asked[j]
             if near.any():
-                a, b = forest(fp[i[near]], fp[j[near]])
+                a, b = forest(node[i[near]], node[j[near]])
                 found_a.append(a)
                 found_b.append(b)
         at = upto
     return forest(np.concatenate(found_a), np.concatenate(found_b))
 
 
-def fingerprint_links(fps: DataFrame, bits: int) -> DataFrame:
-    """Edges (a, b) whose components are those of all links of ``bits`` or fewer differing places.
+def fingerprint_links(fps: DataFrame, bits: int, blocks: int | None = None) -> DataFrame:
+    """Edges (a, b) of nodes whose components are those of the links of ``bits`` or fewer differing places.
 
-    ``fps`` has distinct fingerprints in ``fp``. Cells take an anchor's rows; an anchor with more than CELL rows is
-    dealt to a square of cells, each row to a line of them, so that no task holds an unbounded group.
+    ``fps`` has a bigint ``node`` and array ``fp`` for each distinct fingerprint. All links are found whose blocks leave one
+    with a step at most; with the default number of blocks that is every link. Cells take an anchor's rows; an anchor
+    with more than CELL rows is dealt to a square of cells, each row to a line of them, so that no task holds an
+    unbounded group.
     """
-    schema = pa.schema([("anchor", pa.int64()), ("fp", pa.int64()), ("home", pa.bool_())])
+    blocks = blocks or bits // 2 + 1
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.asarray(batch.column(0)).view(np.uint64)
-            for at in range(0, len(values), 4096):
-                for anchor, fp, home in anchors(values[at : at + 4096], bits):
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(home)], schema=schema)
-
-    placed = fps.select("fp").mapInArrow(replicate, "anchor bigint, fp bigint, home boolean")
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                nodes, values = np.asarray(part.column(0)), np.asarray(part.column(1).flatten()).view(np.uint64).reshape(part.num_rows, -1)
+                for anchor, row, home in anchors(values, blocks):
+                    offsets = pa.array(np.arange(0, row.size * values.shape[1] + 1, values.shape[1], dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(nodes[row]), pa.ListArray.from_arrays(offsets, pa.array(values[row].view(np.int64).ravel())), pa.array(home)], names=["anchor", "node", "fp", "home"])
+
+    wide = fps.select(F.size("fp")).first()
+    wide = wide[0] if wide else 1
+    placed = fps.select("node", "fp").mapInArrow(replicate, "anchor bigint, node bigint, fp array<bigint>, home boolean")
+    placed = placed.select("anchor", "node", "home", *[F.col("fp")[k].alias(f"w{k}") for k in range(wide)])
     hot = placed.groupBy("anchor").count().where(F.col("count") > CELL).select(F.col("anchor").alias("hot"), F.ceil(F.col("count") / CELL).cast("int").alias("side"))
-    dealt = placed.join(hot, placed.anchor == hot.hot, "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("side", F.lit(1))).cast("int"))
+    dealt = placed.join(hot, placed.anchor == hot.hot, "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("side", F.lit(1))).cast("int"))
     every = F.sequence(F.lit(0), F.coalesce("side", F.lit(1)) - 1)
 
     def cells(row: Column, column: Column) -> Column:
@@ -178,21 +219,22 @@ def fingerprint_links(fps: DataFrame, bits: int) -> DataFrame:
     one = F.array(F.struct(F.xxhash64("anchor").alias("cell"), F.when(F.col("home"), 3).otherwise(2).alias("role")))
     asked = F.transform(every, lambda k: F.struct(cells(k, F.col("own")).alias("cell"), F.lit(2).alias("role")))
     asking = F.when(F.col("home"), F.transform(every, lambda k: F.struct(cells(F.col("own"), k).alias("cell"), F.lit(1).alias("role")))).otherwise(F.array())
-    spread = dealt.select("fp", F.inline(F.when(F.col("side").isNull(), one).otherwise(F.concat(asked, asking))))
+    names = [f"w{k}" for k in range(wide)]
+    spread = dealt.select("node", *names, F.inline(F.when(F.col("side").isNull(), one).otherwise(F.concat(asked, asking))))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-        def of(fp: np.ndarray, cell: np.ndarray, role: np.ndarray) -> pa.RecordBatch:
-            a, b = links(cell, fp.view(np.uint64), role, bits)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=out)
+        def of(node: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
+            a, b = links(rest[-2], node, np.stack([w.view(np.uint64) for w in rest[:-2]], axis=1), rest[-1], bits)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            now = [np.asarray(batch.column(i)) for i in range(3)]
+            now = [np.asarray(c) for c in batch.columns]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            last = int(np.searchsorted(now[1], now[1][-1], "left")) if len(now[1]) else 0
+            cell = now[-2]
+            last = int(np.searchsorted(cell, cell[-1], "left")) if len(cell) else 0
             held = [x[last:] for x in now]
             if last:
                 yield of(*[x[:last] for x in now])
@@ -202,17 +244,45 @@ def fingerprint_links(fps: DataFrame, bits: int) -> DataFrame:
     return spread.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a bigint, b bigint")
 
 
+def classes(marked: DataFrame, bits: int, blocks: int | None = None) -> DataFrame:
+    """(node, fp, root, component_id) of each distinct fingerprint of ``marked`` (_key, fp): the least key that links reach.
+
+    A node is the fingerprint itself where it is one word, else 64 bits of it.
+    """
+    node = F.when(F.size("fp") == 1, F.col("fp")[0]).otherwise(F.xxhash64("fp"))
+    fps = cut(marked.groupBy("fp").agg(F.min("_key").alias("least")).withColumn("node", node))
+    roots = components(fingerprint_links(fps, bits, blocks))
+    rooted = cut(fps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(least, "root").select("node", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, bits: int = 4) -> DataFrame:
     """One row per row of ``docs``: the key, ``fp`` and ``component_id``, the least key that links reach.
 
-    Null texts and texts without words have fingerprint 0 and are linked like any other. Repeated rows stay and
-    share a component; null keys are never the least, unless a component has no other (then it is null). An empty
-    table gives no rows. Other columns of ``docs`` are not looked at.
+    ``fp`` is one word, and every pair that differs in ``bits`` or fewer places links. Null texts and texts without
+    words have fingerprint 0 and are linked like any other. Repeated rows stay and share a component; null keys are
+    never the least, unless a component has no other (then it is null). An empty table gives no rows. Other columns of
+    ``docs`` are not looked at.
     """
     marked = cut(fingerprints(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", ["_key"], width))
-    fps = cut(marked.groupBy("fp").agg(F.min("_key").alias("least")))
-    roots = components(fingerprint_links(fps, bits)).select(F.col("node").alias("fp"), "root")
-    rooted = cut(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(known, "fp").select(F.col("_key").alias(key), "fp", "component_id")
+    known = classes(marked, bits).select("fp", "component_id")
+    return marked.join(known, "fp").select(F.col("_key").alias(key), F.col("fp")[0].alias("fp"), "component_id")
+
+
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, words: int = WORDS, blocks: int = BLOCKS, bits: int = BITS) -> DataFrame:
+    """The rows of ``docs`` less near-duplicates: of each component the row of least key stays, once if it is repeated.
+
+    Fingerprints of ``words`` words estimate the similarity of shingle sets; links reach from equality down to about
+    0.8. Those that leave some block with a step at most are found: with the defaults all of up to 27 places, and of
+    two texts that share 0.8 of their shingles, 97 in 100. Texts without words are equal and one of them stays.
+    """
+    columns = docs.columns
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    marked = stored(fingerprints(named, "_text", ["row", "_key"], width, words), "marked")
+    known = classes(marked.select("_key", "fp"), bits, blocks)
+    # the least key's fingerprints in each component: one row of these is one row that stays
+    least = marked.select("_key", "fp").join(known, "fp").where(F.col("_key").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min("fp").alias("_fp")).drop("root")
+    kept = marked.join(least, marked._key.eqNullSafe(least.component_id) & (marked.fp == least._fp))
+    once = Window.partitionBy("_key", "fp").orderBy(F.xxhash64("_key"))
+    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*[F.col("row")[c].alias(c) for c in columns])

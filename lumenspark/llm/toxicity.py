@@ -272,14 +272,15 @@ def _known(vocabulary: dict[str, int]):
     return own
 
 
-def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", evidence: int = 3) -> DataFrame:
-    """The columns ``keep``, ``score`` and ``evidence``: the ids of the nearest examples, their cosines and labels.
+def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", evidence: int = 3, names: tuple[str, str] = ("score", "evidence")) -> DataFrame:
+    """The columns ``keep`` and, by the given names, the score and the evidence: the ids of the nearest examples, their cosines and labels.
 
     A null or empty text, or one that shares no feature with any example, has no neighbours and the rate of such
     examples. Nothing but the text is looked at; equal texts have equal scores.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    now = docs.select(*keep, F.col(text).alias("_text"))
+    now = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("_text"))
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -288,12 +289,12 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", ev
         for batch in batches:
             for part in sliced(batch):
                 scores, proof = [], []
-                for t in part.column(len(keep)).to_pylist():
+                for t in part.column(at).to_pylist():
                     found, cosines = index.nearest(*unit(counted(words_of(t), own), index.idf), NEIGHBOURS)
                     scores.append(model.score(vote(index, found, cosines)))
                     proof.append([{"example": str(index.keys[i]), "cosine": c, "toxic": int(index.toxic[i])} for i, c in zip(found[:evidence].tolist(), cosines[:evidence].tolist(), strict=True)])
                 kind = pa.list_(pa.struct([("example", pa.string()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array(proof, kind)], names=[*keep, "score", "evidence"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array(proof, kind)], names=[*keep, *names])
 
-    schema = "".join(f"`{c}` {now.schema[c].dataType.simpleString()}, " for c in keep) + "score double, evidence array<struct<example:string,cosine:double,toxic:int>>"
+    schema = "".join(f"`{c}` {now.schema[c].dataType.simpleString()}, " for c in keep) + f"`{names[0]}` double, `{names[1]}` array<struct<example:string,cosine:double,toxic:int>>"
     return now.mapInArrow(run, schema)

@@ -49,9 +49,9 @@ def test_links_equal_brute_force(spark, bits):
                 y ^= 1 << int(p)
             fps.append(y)
     fps = sorted({int(x) for x in fps})
-    rows = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp bigint")
-    found = {r.node: r.root for r in components.components(simhash.fingerprint_links(rows, bits)).collect()}
     signed = [int(np.uint64(x).view(np.int64)) for x in fps]
+    rows = spark.createDataFrame([(x, [x]) for x in signed], "node bigint, fp array<bigint>")
+    found = {r.node: r.root for r in components.components(simhash.fingerprint_links(rows, bits)).collect()}
     assert [found.get(x, x) for x in signed] == brute_components(signed, fps, bits)
 
 
@@ -60,7 +60,7 @@ def test_hot_anchor_cells(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CELL", 16)
     fps = sorted({int(x) for x in np.uint64(7 << 40) ^ (np.uint64(1) << rng.integers(0, 64, 60, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 60, dtype=np.uint64))})
     signed = [int(np.uint64(x).view(np.int64)) for x in fps]
-    rows = spark.createDataFrame([(x,) for x in signed], "fp bigint")
+    rows = spark.createDataFrame([(x, [x]) for x in signed], "node bigint, fp array<bigint>")
     found = {r.node: r.root for r in components.components(simhash.fingerprint_links(rows, 4)).collect()}
     assert [found.get(x, x) for x in signed] == brute_components(signed, fps, 4)
 
@@ -71,6 +71,7 @@ def test_query_equals_brute_force(spark):
     folder = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
     fps = [brute_fingerprint(r.text, 4) for r in rows]
+    assert fps[:20] == [simhash.fingerprint((r.text or "").encode(), 4)[0] for r in rows[:20]]
     keys = [r.doc_id for r in rows]
     want = sorted(zip(keys, [f"{x:016x}" for x in fps], brute_components(keys, fps, 4), strict=True))
     assert sorted(map(tuple, op3_simhash(spark, folder).collect())) == want
@@ -87,3 +88,39 @@ def test_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     found = components.components(edges).collect()
     assert len(found) == 201 and {r.root for r in found} == {0}
+
+
+def test_deduplicated_keeps_one_of_each_group(spark):
+    rng = np.random.default_rng(8)
+    rows, group = [], []
+    for g in range(150):
+        words = [f"w{rng.integers(0, 5000)}" for _ in range(rng.integers(60, 400))]
+        for c in range(1 + g % 4):
+            own = list(words)
+            for at in rng.choice(len(own), 1 + len(own) // 120, replace=False) if 0 < c < 3 else []:
+                own[at] = f"x{rng.integers(0, 5000)}"
+            rows.append((1000 - len(rows), " ".join(own), "s"))
+            group.append(g)
+    rows += [(5000, "", "s"), (5001, None, "s"), (5002, " ", "s"), (5003, "lone", "s"), (5003, "lone", "s"), (None, "no key", "s"), (None, rows[0][1], "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, fp string")
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    got = [r.doc_id for r in kept.collect()]
+    least = {}
+    for (k, _, _), g in zip(rows, group, strict=False):
+        least[g] = min(least.get(g, k), k)
+    want = set(least.values()) | {5000, 5003, None}
+    assert len(got) == len(set(got)) and want <= set(got) and len(set(got) - want) <= 6
+    assert simhash.deduplicated(docs.where("false")).count() == 0
+
+
+def test_wide_recall_at_similarity(spark):
+    rng = np.random.default_rng(9)
+    hits = 0
+    for _ in range(300):  # two sets that share 0.8 of their elements
+        both, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (400, 50, 50))
+        x, y = ([simhash.majority(simhash.mixed(np.concatenate([both, z]), k)) for k in range(simhash.WORDS)] for z in (a, b))
+        apart = sum((p ^ q).bit_count() for p, q in zip(x, y, strict=True))
+        met = any(((x[w] ^ y[w]) >> first & ((1 << n) - 1)).bit_count() <= 1 for w, first, n in simhash.block_places(simhash.WORDS, simhash.BLOCKS))
+        hits += apart <= simhash.BITS and met
+    assert hits / 300 > 0.78, hits
