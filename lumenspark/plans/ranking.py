@@ -14,7 +14,7 @@ def ap_101_by_source(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", "quality")
     ranked = docs.join(labels, "doc_id")
     curve = precision_recall(ranked, ["source"], [F.desc("n_chars"), F.asc("doc_id")], "quality")
-    return average_precision(curve, ["source"])
+    return average_precision(curve, ["source"]).withColumn("ap", F.round("ap", 9))
 
 
 QUERIES = {"ap_101_by_source": ap_101_by_source}
@@ -30,7 +30,7 @@ e AS (SELECT *, max(prec) OVER (PARTITION BY source ORDER BY n ROWS BETWEEN CURR
 t AS (SELECT range / 100::DOUBLE AS level FROM range(101)),
 f AS (SELECT source, level, arg_min(env, n) AS env FROM e, t WHERE recall >= level GROUP BY ALL),
 s AS (SELECT source, max(pos) AS pos, count(*) AS ranked FROM e GROUP BY source)
-SELECT s.source, CASE WHEN pos > 0 THEN coalesce(sum(f.env), 0) / 101 ELSE -1.0::DOUBLE END AS ap, pos::BIGINT AS positives, ranked::BIGINT AS ranked
+SELECT s.source, round(CASE WHEN pos > 0 THEN coalesce(sum(f.env), 0) / 101 ELSE -1.0::DOUBLE END, 9) AS ap, pos::BIGINT AS positives, ranked::BIGINT AS ranked
 FROM s LEFT JOIN f ON f.source IS NOT DISTINCT FROM s.source GROUP BY s.source, pos, ranked
 """,
 }
