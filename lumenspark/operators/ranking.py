@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenspark.operators.detection import levels_between
+
 #: Fixed value: the spacing of doubles at 1, which keeps precision finite.
 EPSILON = 2.220446049250313e-16
 
@@ -34,13 +36,11 @@ def average_precision(curve: DataFrame, group: list[str], points: int = 101) ->
     A level that is never reached counts 0; a group without positives gets the sentinel -1. A row answers
     for the levels above the previous row's recall up to its own, so nothing is joined or repeated.
     """
-    steps = points - 1
     before = F.coalesce(F.lag("recall").over(Window.partitionBy(*group).orderBy("n")), F.lit(-1.0))
-    levels = F.size(F.filter(F.sequence(F.lit(0), F.lit(steps)), lambda k: (k / F.lit(float(steps)) > F.col("before")) & (k / F.lit(float(steps)) <= F.col("recall"))))
-    # a rank that isn't relevant leaves recall as it was, so only steps of recall answer for levels
+    levels = levels_between(F.col("before"), F.col("recall"), points)
     return (
         curve.withColumn("before", before)
-        .withColumn("answers", F.when(F.col("recall") > F.col("before"), levels).otherwise(0))
+        .withColumn("answers", levels)
         .groupBy(*group)
         .agg(
             F.when(F.max("positives") > 0, F.sum(F.col("answers") * F.col("envelope")) / points).otherwise(F.lit(-1.0)).alias("ap"),

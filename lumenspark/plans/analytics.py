@@ -131,9 +131,9 @@ def interp_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def interp_lookup_keyed(spark: SparkSession, folder: str) -> DataFrame:
-    curve = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("k"), F.dayofyear("o_orderdate").alias("d")).agg(F.max("o_totalprice").alias("p"))
+    curve = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("k"), F.dayofyear("o_orderdate").alias("d")).agg(F.ln(F.max("o_totalprice")).alias("p"))
     points = table(spark, folder, "customer").select("c_custkey", F.col("c_custkey").alias("k"), (F.col("c_nationkey") * 14).alias("at"))
-    return _rounded(curves.interpolated(points, "at", curve, "d", "p", "k").select("c_custkey", "value"), "value", digits=4)
+    return _rounded(curves.interpolated(points, "at", curve, "d", "p", "k").select("c_custkey", "value"), "value")
 
 
 def selection_offset_limit(spark: SparkSession, folder: str) -> DataFrame:
@@ -235,9 +235,9 @@ SELECT vec_id, frequency, round(sqrt(re * re + im * im) / abs(dc), 7) AS magnitu
 SELECT vec_id, i::INTEGER AS i, round(CASE WHEN a IS NULL THEN b - e WHEN b IS NULL THEN e - a ELSE (b - a) / 2 END, 7) AS slope FROM l""",
     "interp_lookup": """WITH c AS (SELECT n_nationkey * 9.5::DOUBLE AS x, sqrt(n_nationkey) AS y, lead(n_nationkey) OVER (ORDER BY n_nationkey) * 9.5::DOUBLE AS x1, sqrt(lead(n_nationkey) OVER (ORDER BY n_nationkey)) AS y1 FROM nation)
 SELECT event_id, value AS "at", round(CASE WHEN e.value < 0 THEN 0.0 WHEN c.x1 IS NULL THEN c.y ELSE c.y + (c.y1 - c.y) / (c.x1 - c.x) * (e.value - c.x) END, 7) AS value FROM events e ASOF LEFT JOIN c ON e.value >= c.x""",
-    "interp_lookup_keyed": """WITH c AS (SELECT o_custkey AS k, dayofyear(o_orderdate) AS x, max(o_totalprice) AS y FROM orders GROUP BY ALL),
+    "interp_lookup_keyed": """WITH c AS (SELECT o_custkey AS k, dayofyear(o_orderdate) AS x, ln(max(o_totalprice)) AS y FROM orders GROUP BY ALL),
 p AS (SELECT c_custkey AS k, c_nationkey * 14 AS x FROM customer), a AS (SELECT p.k, p.x, c.x AS ax, c.y AS ay FROM p ASOF LEFT JOIN c ON p.k = c.k AND p.x >= c.x), b AS (SELECT p.k, c.x AS bx, c.y AS vb FROM p ASOF LEFT JOIN c ON p.k = c.k AND p.x < c.x)
-SELECT a.k AS c_custkey, round(CASE WHEN ax IS NULL THEN vb WHEN bx IS NULL OR ax = x THEN ay ELSE ay + (vb - ay) / (bx - ax) * (x - ax) END, 4) AS value FROM a JOIN b USING (k)""",
+SELECT a.k AS c_custkey, round(CASE WHEN ax IS NULL THEN vb WHEN bx IS NULL OR ax = x THEN ay ELSE ay + (vb - ay) / (bx - ax) * (x - ax) END, 7) AS value FROM a JOIN b USING (k)""",
     "selection_offset_limit": "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 25 OFFSET 37",
     "topk_100_cap": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 5",
     "filter_before_limit": "SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'P' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",

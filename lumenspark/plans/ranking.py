@@ -27,7 +27,7 @@ WITH r AS (
   WINDOW w AS (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 p AS (SELECT source, n, pos, CASE WHEN pos > 0 THEN tp::DOUBLE / pos END AS recall, tp::DOUBLE / (n + 2.220446049250313e-16::DOUBLE) AS prec FROM r),
 e AS (SELECT *, max(prec) OVER (PARTITION BY source ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env FROM p),
-t AS (SELECT range / 100::DOUBLE AS level FROM range(101)),
+t AS (SELECT range * 0.01::DOUBLE AS level FROM range(101)),
 f AS (SELECT source, level, arg_min(env, n) AS env FROM e, t WHERE recall >= level GROUP BY ALL),
 s AS (SELECT source, max(pos) AS pos, count(*) AS ranked FROM e GROUP BY source)
 SELECT s.source, round(CASE WHEN pos > 0 THEN coalesce(sum(f.env), 0) / 101 ELSE -1.0::DOUBLE END, 9) AS ap, pos::BIGINT AS positives, ranked::BIGINT AS ranked
