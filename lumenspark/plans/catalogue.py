@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenspark.plans import analytics, ranking, scalars
+from lumenspark.plans import analytics, planning, ranking, scalars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for module in (ranking, scalars, analytics):
+for module in (ranking, scalars, analytics, planning):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
