@@ -32,8 +32,11 @@ L, N, P, A1, A2, SPACE, BREAK, WS = range(8)
 START, IN_L, IN_N, IN_P, IN_WS, JOIN, TWO, ONE = range(8)
 STATES = 8
 BLOCK = 256
-#: Pieces that a worker remembers before it forgets them all.
-CACHE = 1 << 19
+#: Pieces that a worker remembers before it forgets them all; bytes up to which pieces are merged side by side.
+CACHE = 1 << 18
+SHORT = 64
+#: Bytes of texts or ids worked on at a time; what is made of them takes some forty times as many.
+BYTES = 1 << 20
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -134,29 +137,116 @@ def slices(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
     return line.encode(), np.concatenate([byte[places], byte[-1:]]), np.concatenate([np.searchsorted(places, begin), [len(places)]])
 
 
+class Pairs:
+    """From two neighbouring ids to the id of both joined, as a hash table in arrays; an id is its token's rank."""
+
+    NONE = (1 << 31) - 1
+
+    def __init__(self, ranks: dict[bytes, int]):
+        get = ranks.get
+        made = [(left, right, rank) for token, rank in ranks.items() for i in range(1, len(token)) if (left := get(token[:i])) is not None and (right := get(token[i:])) is not None]
+        left, right, rank = np.array(made, np.uint64).reshape(-1, 3).T
+        keys = left << np.uint64(32) | right
+        bits = max(4, int(len(keys)).bit_length() + 2)
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.keys, self.ranks = np.full(1 << bits, -1, np.int64).view(np.uint64), np.full(1 << bits, self.NONE, np.int64)
+        at, todo = self._place(keys), np.arange(len(keys))
+        while len(todo):  # the first to reach an empty place has it, others go on to the next
+            free = self.keys[at[todo]] == np.uint64(0xFFFFFFFFFFFFFFFF)
+            place, first = np.unique(at[todo[free]], return_index=True)
+            won = todo[free][first]
+            self.keys[place], self.ranks[place] = keys[won], rank[won]
+            todo = np.setdiff1d(todo, won, assume_unique=True)
+            at[todo] = (at[todo] + 1) & self.mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The joined id of each pair, NONE if there is none."""
+        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        out = np.full(len(keys), self.NONE, np.int64)
+        at, todo = self._place(keys), np.arange(len(keys))
+        while len(todo):
+            seen = self.keys[at]
+            hit = seen == keys[todo]
+            out[todo[hit]] = self.ranks[at[hit]]
+            more = ~hit & (seen != np.uint64(0xFFFFFFFFFFFFFFFF))
+            todo, at = todo[more], (at[more] + 1) & self.mask
+        return out
+
+
 class Encoder(dict):
-    """From a piece's bytes to its number; ``ids`` and ``parts`` of a number are its ids and their lengths in bytes."""
+    """From a piece's bytes to its number; ``flat[first[k] : first[k] + count[k]]`` are the ids of number k."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
-        self.ids: list[list[int]] = []
-        self.parts: list[list[int]] = []
+        self.ranks, self.pairs = ranks, Pairs(ranks)
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.size[list(ranks.values())] = list(map(len, ranks))
+        self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.ids, self.parts = [], []
-
-    def __missing__(self, piece: bytes) -> int:
-        parts = [piece] if piece in self.ranks else merged(piece, self.ranks)
-        self.ids.append([self.ranks[p] for p in parts])
-        self.parts.append([len(p) for p in parts])
-        self[piece] = len(self.ids) - 1
-        return self[piece]
+        self.flat, self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Merges pieces that aren't known, all short ones side by side."""
+        get = self.ranks.get
+        whole = [p for p in pieces if p in self.ranks]
+        rest = [p for p in pieces if p not in self.ranks]
+        short = [p for p in rest if len(p) <= SHORT]
+        long = [p for p in rest if len(p) > SHORT]
+        ids, count = self._merged(short)
+        by_heap = [[get(t) for t in merged(p, self.ranks)] for p in long]
+        known = len(self)
+        self.update(zip(whole + short + long, range(known, known + len(pieces)), strict=True))
+        count = np.concatenate([self.count, np.ones(len(whole), np.int64), count, np.array([len(x) for x in by_heap], np.int64)])
+        self.flat = np.concatenate([self.flat, np.array([get(p) for p in whole], np.int64), ids, np.array([x for y in by_heap for x in y], np.int64)])
+        self.count, self.first = count, np.cumsum(count) - count
+
+    def _merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in order and their number in each. A round joins one pair in every piece that has one:
+        of lowest rank, leftmost first; pieces that are done leave."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ids = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        owner = np.repeat(np.arange(len(pieces)), sizes)
+        rank = np.full(len(ids), Pairs.NONE, np.int64)
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[inner] = self.pairs.joined(ids[inner], ids[inner + 1])
+        done_ids, done_owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(ids):
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.concatenate([first, [len(ids)]])))
+            over = least == Pairs.NONE
+            if over.any():
+                done_ids.append(ids[over])
+                done_owner.append(owner[over])
+                ids, owner, rank, least = ids[~over], owner[~over], rank[~over], least[~over]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == least)
+            at = at[np.concatenate([[True], owner[at[1:]] != owner[at[:-1]]])]
+            ids[at] = rank[at]
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            at -= np.arange(len(at))  # one element went for each pair before it
+            ids, owner, rank = ids[stay], owner[stay], rank[stay]
+            last = np.concatenate([owner[1:] != owner[:-1], [True]])
+            rank[at] = Pairs.NONE
+            after = at[~last[at]]
+            before = at[(at > 0)] - 1
+            before = before[~last[before]]
+            rank[after] = self.pairs.joined(ids[after], ids[after + 1])
+            rank[before] = self.pairs.joined(ids[before], ids[before + 1])
+        ids, owner = np.concatenate(done_ids), np.concatenate(done_owner)
+        order = np.argsort(owner, kind="stable")
+        return ids[order], np.bincount(owner, minlength=len(pieces))
 
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """Joins the neighbours of lowest rank, leftmost first, until no two neighbours have one. n log n for n bytes."""
+    """Joins the neighbours of lowest rank, leftmost first, until no two neighbours have one; n log n for n bytes."""
     n = len(piece)
     after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     alive = [True] * n
@@ -200,19 +290,17 @@ def encode_batch(texts: list[str], encoder: Encoder) -> tuple[np.ndarray, np.nda
         encoder.forget()
     data, byte, upto = slices(texts)
     edges = byte.tolist()
-    number = np.fromiter(map(encoder.__getitem__, map(data.__getitem__, map(slice, edges, edges[1:]))), np.int64, len(edges) - 1)
-    used, at = np.unique(number, return_inverse=True)
-    own = [encoder.ids[k] for k in used.tolist()]
-    count = np.fromiter(map(len, own), np.int64, len(own))
-    table = np.fromiter((x for k in own for x in k), np.int32, int(count.sum()))
-    sizes = np.fromiter((x for k in used.tolist() for x in encoder.parts[k]), np.int64, int(count.sum()))
-    n = count[at]
+    pieces = [data[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+    if fresh := set(pieces).difference(encoder):
+        encoder.learn(list(fresh))
+    number = np.fromiter(map(encoder.__getitem__, pieces), np.int64, len(pieces))
+    n = encoder.count[number]
     ends = np.cumsum(n)
-    place = np.arange(int(n.sum())) - np.repeat(ends - n, n) + np.repeat((np.cumsum(count) - count)[at], n)
+    ids = encoder.flat[np.arange(int(n.sum())) + np.repeat(encoder.first[number] - (ends - n), n)]
     bounds = np.concatenate([[0], ends])[upto]
-    start = np.cumsum(sizes[place]) - sizes[place]
-    text_start = byte[upto[:-1]]
-    return table[place], start - np.repeat(text_start, np.diff(bounds)), bounds
+    size = encoder.size[ids]
+    start = np.cumsum(size) - size
+    return ids.astype(np.int32), start - np.repeat(byte[upto[:-1]], np.diff(bounds)), bounds
 
 
 def encode(docs: DataFrame, ranks_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -233,7 +321,7 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", keep: list[str]
         if not made:
             made.append(Encoder(sent.value))
         for batch in batches:
-            for part in sliced(batch, 4 << 20):
+            for part in sliced(batch, BYTES):
                 ids, start, bounds = encode_batch(part.column(len(keep)).to_pylist(), made[0])
                 offsets = pa.array(bounds.astype(np.int32))
                 columns = [*part.columns[: len(keep)], pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(start.astype(np.int32)))]
@@ -257,7 +345,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", keep: list[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = sent.value
         for batch in batches:
-            for part in sliced(batch, 4 << 20):
+            for part in sliced(batch, BYTES):
                 column = part.column(len(keep))
                 bounds = np.asarray(column.offsets)
                 flat = np.asarray(column.values.slice(bounds[0], bounds[-1] - bounds[0])).tolist()
