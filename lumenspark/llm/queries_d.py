@@ -11,9 +11,9 @@ from lumenspark.llm.common import fresh_path
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     path = fresh_path(spark, "warc")
-    index = warc.archive(pages, path)
+    warc.archive(pages, path)
     kind = pages.schema["page_id"].dataType
-    found = warc.read(spark, f"{path}/archives", index, payloads=False)
+    found = warc.read(spark, f"{path}/archives", payloads=False)
     return found.select(found.page_id.cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", found.refers_to.cast(kind).alias("refers_to"))
 
 

@@ -157,6 +157,22 @@ def normalise(spark: SparkSession, source: str, target: str, level: int = LEVEL)
     made.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").text(target)
 
 
+def member_size(content: memoryview, at: int) -> int:
+    if content[at + 12 : at + 14] != LENGTH_FIELD:
+        raise ValueError("this archive is not normalised")
+    return struct.unpack("<I", content[at + 16 : at + 20])[0]
+
+
+def members(content: memoryview) -> Iterator[tuple[int, int]]:
+    """(start, size) of each member that holds a record, from header to header."""
+    at = 0
+    while at < len(content):
+        size = member_size(content, at)
+        if content[at : at + size] != EMPTY:
+            yield at, size
+        at += size
+
+
 def write_index(spark: SparkSession, archives: str, target: str) -> DataFrame:
     """The sidecar: (path, start, size) of every record's member, found by going from header to header."""
     files = spark.read.format("binaryFile").load(archives).select("path", "content")
@@ -165,15 +181,7 @@ def write_index(spark: SparkSession, archives: str, target: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 content = memoryview(batch.column(1)[i].as_buffer()).cast("B")
-                start, size, at = [], [], 0
-                while at < len(content):
-                    if content[at + 12 : at + 14] != LENGTH_FIELD:
-                        raise ValueError("this archive is not normalised")
-                    n = struct.unpack("<I", content[at + 16 : at + 20])[0]
-                    if n > len(EMPTY) or content[at : at + n] != EMPTY:
-                        start.append(at)
-                        size.append(n)
-                    at += n
+                start, size = map(list, zip(*members(content), strict=True)) if len(content) else ([], [])
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(start), pa.string()), pa.array(start, pa.int64()), pa.array(size, pa.int64())], names=["path", "start", "size"])
 
     files.mapInArrow(run, "path string, start bigint, size bigint").write.parquet(target)
@@ -183,16 +191,20 @@ def write_index(spark: SparkSession, archives: str, target: str) -> DataFrame:
 EMPTY = member(b"")
 
 
-def read(spark: SparkSession, archives: str, index: DataFrame, payloads: bool = True) -> DataFrame:
-    """One row for each indexed record: page_id, record_type, payload_bytes, payload_digest, refers_to, payload.
+def read(spark: SparkSession, archives: str, index: DataFrame | None = None, payloads: bool = True) -> DataFrame:
+    """One row for each record: page_id, record_type, payload_bytes, payload_digest, refers_to, payload.
 
-    Each record is inflated from its offset alone. Bytes and digest are of the full payload: a response's are taken
-    from what was read, and must be what its head says; a revisit's are those of its head. ``payload`` is null for
-    revisits, and without ``payloads``.
+    Every member is inflated from its offset alone. Without an index all records are read where their files are, from
+    header to header; with one, the records that it lists, and only the files that hold some of them are moved. Bytes
+    and digest are of the full payload: a response's are taken from what was read, and must be what its head says; a
+    revisit's are those of its head. ``payload`` is null for revisits, and without ``payloads``.
     """
     files = spark.read.format("binaryFile").load(archives).select("path", "content")
-    places = index.groupBy(F.col("path").alias("at")).agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("places"))
-    joined = files.join(places, files.path == places.at).select("content", F.transform("places", lambda x: x.start).alias("start"), F.transform("places", lambda x: x["size"]).alias("size"))
+    if index is None:
+        joined = files.select("content", F.lit(None).cast("array<bigint>").alias("start"))
+    else:
+        places = index.groupBy(F.col("path").alias("at")).agg(F.sort_array(F.collect_list("start")).alias("start"))
+        joined = files.join(places, files.path == places.at).select("content", "start")
     schema = pa.schema([("page_id", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +214,8 @@ def read(spark: SparkSession, archives: str, index: DataFrame, payloads: bool =
             for i in range(batch.num_rows):
                 content = memoryview(batch.column(0)[i].as_buffer()).cast("B")
                 rows, held = [], 0
-                for start, size in zip(batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), strict=True):
+                listed = batch.column(1)[i].as_py()
+                for start, size in members(content) if listed is None else ((at, member_size(content, at)) for at in listed):
                     data = zlib.decompress(content[start : start + size], 31)
                     head, rest = data.split(CLOSE, 1)
                     fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])

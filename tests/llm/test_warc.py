@@ -44,6 +44,9 @@ def test_edge_rows(spark):
     path = fresh_path(spark, "warc")
     index = warc.archive(pages.repartition(3), path)
     got = warc.read(spark, f"{path}/archives", index).collect()
+    assert sorted(map(str, got)) == sorted(map(str, warc.read(spark, f"{path}/archives").collect()))
+    one = index.limit(1)
+    assert warc.read(spark, f"{path}/archives", one).count() == 1
     as_row = [(r.page_id and int(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to and int(r.refers_to)) for r in got]
     assert sorted(as_row, key=str) == sorted(brute(rows), key=str)
     assert sorted(r.payload for r in got if r.payload is not None) == sorted((h or "") for (k, h), b in zip(rows, brute(rows), strict=True) if b[3] == "response")
