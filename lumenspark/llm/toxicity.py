@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples, with exact TF-IDF cosine over a block-max inverted index.
 
-A bounded sample of labelled documents (EXAMPLES of each class, those whose ids hash lowest) is turned into TF-IDF
+A bounded sample of labelled documents (EXAMPLES of each class, those whose ids hash lowest, near copies once) is turned into TF-IDF
 vectors over the FEATURES words and word beginnings that tell the classes apart best; the document frequencies behind
 the weights are counted over the whole corpus. Their postings are kept by blocks of examples with each block's largest
 weight, so a query bounds the cosine that any example of a block can reach, scores the most promising blocks and then
@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +26,19 @@ from pyspark.sql import functions as F
 
 from lumenspark.llm.common import sliced, stored
 
-#: Labelled examples of each class; features kept; fewest examples of a feature; neighbours asked; examples of a block.
+#: Labelled examples of each class; features kept at most; fewest examples of a feature, and the least gain in
+#: log-likelihood that it must bring, which comes to a feature by chance once in a hundred thousand times;
+#: neighbours asked; examples of a block.
 EXAMPLES = 2000
-FEATURES = 2048
+FEATURES = 1024
 LEAST_EXAMPLES = 3
+LEAST_GAIN = 10.0
 NEIGHBOURS = 15
 BLOCK = 64
-#: Lengths of word beginnings that are features too; words that a worker remembers.
+#: Lengths of word beginnings that are features too.
 BEGINNINGS = (4, 5)
-CACHE = 1 << 18
+#: Least hashes that tell copies among the examples.
+MARKS = 8
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -43,18 +49,66 @@ def features_of(word: str) -> tuple[str, ...]:
 
 
 def words_of(text: str | None) -> Counter[str]:
-    return Counter(WORD.findall(text.lower())) if text else Counter()
+    """Runs of letters, lower-cased. What stands between white space is looked into only if it isn't all letters."""
+    found = Counter(text.lower().split()) if text else Counter()
+    for piece in [p for p in found if not p.isalpha()]:
+        n = found.pop(piece)
+        for word in WORD.findall(piece):
+            found[word] += n
+    return found
 
 
-def counted(words: Counter[str], known) -> dict:
-    """Feature counts of a text; ``known`` gives a word's features."""
-    found: dict = {}
+def counted(words: Counter[str]) -> dict[str, int]:
+    """Counts of all features of a text."""
+    found: dict[str, int] = {}
     for word, n in words.items():
-        for f in known(word):
+        for f in features_of(word):
             found[f] = found.get(f, 0) + n
     return found
 
 
+class Known:
+    """Counts of a vocabulary's features. Words are met with it as sets; only those that share one are looked at."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.words = {f: i for f, i in vocabulary.items() if f[0] != "-"}
+        self.heads = [(n, itemgetter(slice(0, n)), own) for n in BEGINNINGS if (own := {f[1:]: i for f, i in vocabulary.items() if f[0] == "-" and len(f) == n + 1})]
+
+    def counted(self, words: Counter[str]) -> dict[int, int]:
+        found = {self.words[w]: words[w] for w in self.words.keys() & words.keys()}
+        for n, head, own in self.heads:
+            if met := own.keys() & set(map(head, words)):
+                for word, count in words.items():
+                    if (h := word[:n]) in met:
+                        found[own[h]] = found.get(own[h], 0) + count
+        return found
+
+
+def sketch(text: str | None) -> list[int]:
+    """Least hashes, under MARKS orders, of a text's runs of three words; texts that share 0.8 share most of them."""
+    words = (text or "").lower().split()
+    runs = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+    hashes = np.array([zlib.crc32(r.encode()) for r in runs], np.uint64)
+    orders = np.arange(1, 2 * MARKS, 2, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    return ((hashes[None, :] + np.uint64(1)) * orders >> np.uint64(33)).min(axis=1).astype(np.int64).tolist()
+
+
+def without_copies(sketches: list[tuple]) -> set:
+    """One key, the least, of each group of examples that share a mark: copies would outvote what they repeat."""
+    root: dict = {k: k for k, _ in sketches}
+
+    def top(k):
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    held: dict = {}
+    for k, marks in sorted(sketches, key=lambda r: (str(r[0]), r[0])):
+        for mark in enumerate(marks):
+            root[top(k)] = top(held.setdefault(mark, k))
+    return {top(k) for k in root}
+
+
 @dataclass(frozen=True)
 class Index:
     """Postings by feature and block. ``weights`` of an example and a query are of unit length."""
@@ -199,17 +253,21 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch):
-                key_, toxic, names, counts = [], [], [], []
+                key_, toxic, names, counts, marks = [], [], [], [], []
                 for k, t, y in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    found = counted(words_of(t), features_of)
+                    found = counted(words_of(t))
                     key_.append(k)
                     toxic.append(y)
                     names.append(list(found))
                     counts.append(list(found.values()))
-                yield pa.RecordBatch.from_arrays([pa.array(key_, part.schema.field(0).type), pa.array(toxic, pa.int32()), pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))], names=["_key", "_toxic", "names", "counts"])
+                    marks.append(sketch(t))
+                yield pa.RecordBatch.from_arrays([pa.array(key_, part.schema.field(0).type), pa.array(toxic, pa.int32()), pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))], names=["_key", "_toxic", "names", "counts", "marks"])
 
     kind = rows.schema["_key"].dataType.simpleString()
-    vectors = stored(examples.select("_key", "_text", "_toxic").mapInArrow(features, f"_key {kind}, _toxic int, names array<string>, counts array<bigint>"), "examples")
+    vectors = stored(examples.select("_key", "_text", "_toxic").mapInArrow(features, f"_key {kind}, _toxic int, names array<string>, counts array<bigint>, marks array<bigint>"), "examples")
+    single = without_copies([(r["_key"], r["marks"]) for r in vectors.select("_key", "marks").collect()])
+    chosen = {k: y for k, y in chosen.items() if k in single}
+    vectors = vectors.join(F.broadcast(spark.createDataFrame([(k,) for k in chosen], rows.select("_key").schema)), "_key")
     one, zero = max(1, sum(chosen.values())), max(1, len(chosen) - sum(chosen.values()))
     classes = vectors.select("_toxic", F.explode("names").alias("name")).groupBy("name").agg(F.sum("_toxic").cast("double").alias("t"), (F.count(F.lit(1)) - F.sum("_toxic")).cast("double").alias("c"))
 
@@ -218,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     n = F.col("t") + F.col("c")
     gain = part(F.col("t"), n * one / (one + zero)) + part(F.col("c"), n * zero / (one + zero)) + part(one - F.col("t"), (one + zero - n) * one / (one + zero)) + part(zero - F.col("c"), (one + zero - n) * zero / (one + zero))
-    best = classes.where(n >= LEAST_EXAMPLES).select("name", F.round(gain, 6).alias("gain")).orderBy(F.desc("gain"), "name").limit(FEATURES).collect() if len(set(chosen.values())) == 2 else []
+    best = classes.where(n >= LEAST_EXAMPLES).select("name", F.round(gain, 6).alias("gain")).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "name").limit(FEATURES).collect() if len(set(chosen.values())) == 2 else []
     vocabulary = {r["name"]: i for i, r in enumerate(best)}
     total, frequency = document_frequencies(rows, "_text", vocabulary)
     idf = np.log((1 + total) / (1 + frequency)) + 1
@@ -240,12 +298,11 @@ def document_frequencies(rows: DataFrame, text: str, vocabulary: dict[str, int])
     size = len(vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen, n = _known(sent.value), np.zeros(size + 1, np.int64), 0
+        own, seen, n = Known(sent.value), np.zeros(size + 1, np.int64), 0
         for batch in batches:
             for part in sliced(batch):
                 for t in part.column(0).to_pylist():
-                    found = {f for w in set(WORD.findall(t.lower())) for f in own(w)} if t else ()
-                    seen[list(found)] += 1
+                    seen[list(own.counted(words_of(t)))] += 1
                     n += 1
         seen[size] = n
         held = np.flatnonzero(seen)
@@ -257,21 +314,6 @@ def document_frequencies(rows: DataFrame, text: str, vocabulary: dict[str, int])
     return int(out[size]), out[:size]
 
 
-def _known(vocabulary: dict[str, int]):
-    """From a word to its features' numbers; remembers words, a bounded number of them."""
-    cache: dict[str, tuple[int, ...]] = {}
-
-    def own(word: str) -> tuple[int, ...]:
-        got = cache.get(word)
-        if got is None:
-            if len(cache) > CACHE:
-                cache.clear()
-            got = cache[word] = tuple(vocabulary[f] for f in features_of(word) if f in vocabulary)
-        return got
-
-    return own
-
-
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", evidence: int = 3, names: tuple[str, str] = ("score", "evidence")) -> DataFrame:
     """The columns ``keep`` and, by the given names, the score and the evidence: the ids of the nearest examples, their cosines and labels.
 
@@ -285,12 +327,12 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", ev
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         index = model.index
-        own = _known(index.vocabulary)
+        own = Known(index.vocabulary)
         for batch in batches:
             for part in sliced(batch):
                 scores, proof = [], []
                 for t in part.column(at).to_pylist():
-                    found, cosines = index.nearest(*unit(counted(words_of(t), own), index.idf), NEIGHBOURS)
+                    found, cosines = index.nearest(*unit(own.counted(words_of(t)), index.idf), NEIGHBOURS)
                     scores.append(model.score(vote(index, found, cosines)))
                     proof.append([{"example": str(index.keys[i]), "cosine": c, "toxic": int(index.toxic[i])} for i, c in zip(found[:evidence].tolist(), cosines[:evidence].tolist(), strict=True)])
                 kind = pa.list_(pa.struct([("example", pa.string()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
