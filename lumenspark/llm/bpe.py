@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import sliced
+from lumenspark.llm.common import bounded_batches, sliced
 
 #: The code points with the Unicode property White_Space.
 WHITE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -310,6 +310,7 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", keep: list[str]
     vocabulary of under a megabyte, are read on the driver and broadcast.
     """
     keep = keep or []
+    bounded_batches(docs.sparkSession)
     ranks = read_ranks(ranks_path)
     if sum(map(len, ranks)) > 64 << 20:
         raise ValueError("this vocabulary is too large to broadcast")
@@ -334,6 +335,7 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", keep: list[str]
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` and ``decoded`` binary, the bytes of the ids; null ids give no bytes."""
     keep = keep or []
+    bounded_batches(encoded.sparkSession)
     spark: SparkSession = encoded.sparkSession
     ranks = read_ranks(ranks_path)
     ordered = [b""] * (max(ranks.values(), default=-1) + 1)

@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -28,6 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch on its way to Python, where the session names no other.
+BATCH = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps batches small enough for several Python workers beside an executor's heap, unless the session says how."""
+    for name, value in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH), ("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)):
+        if spark.conf.get(name, None) is None and spark.sparkContext.getConf().get(name) is None:
+            spark.conf.set(name, str(value))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -47,8 +59,25 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: Names of a row's identity.
+ROW = ["_d0", "_d1"]
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """Adds 128 bits of hashes of the whole row, by which decisions on slim rows find their texts again."""
+    columns = [docs[c] for c in docs.columns]
+    return docs.withColumns({ROW[0]: F.xxhash64(*columns), ROW[1]: F.xxhash64(F.lit(1), *columns)})
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """One of each set of identical rows; a join on the identity before or after needs no other exchange."""
+    numbered = rows.withColumn("_copy", F.row_number().over(Window.partitionBy(*ROW).orderBy(F.lit(1))))
+    return numbered.where("_copy = 1").drop("_copy")
+
+
 def map_rows(frame: DataFrame, schema: str | T.StructType, fn: Callable[[dict[str, list]], dict[str, list] | None]) -> DataFrame:
     """Applies ``fn`` to the columns of each Arrow batch, as lists; the lists it returns are the new columns."""
+    bounded_batches(frame.sparkSession)
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -15,15 +15,18 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import fresh_path, map_rows, sliced, stored
+from lumenspark.llm.common import bounded_batches, fresh_path, map_rows, sliced, stored
+
+if TYPE_CHECKING:  # the workers that only hash lines do without it
+    import pandas as pd
 
 #: Fixed value: white space that a key loses at both ends.
 BLANK = b" \t\n\x0b\x0c\r"
@@ -108,6 +111,7 @@ def _halves(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def reference_counts(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
     """(high, low, refs): the number of rows of ``docs`` that hold each key; summed in the task before it is dealt."""
+    bounded_batches(docs.sparkSession)
     out = pa.schema([("high", pa.int64()), ("low", pa.int64()), ("refs", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,6 +154,8 @@ def _refreshed(min_docs: int):
     """Brings one shard's filter in line with its counts; was and refs are counts before and after."""
 
     def run(counts: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         if not len(counts):
             return filters.iloc[:0]
         low = counts["low"].to_numpy(np.int64)

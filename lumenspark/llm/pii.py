@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import sliced
+from lumenspark.llm.common import bounded_batches, sliced
 
 #: Fixed values of the contract: kinds in their order, and the patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -372,6 +372,7 @@ def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     A null text is empty. Rows are independent: repeated rows have equal spans, no rows give none. Each text is
     searched whole, in one pass, where it is read; the field's weights are a few thousand numbers.
     """
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(trained())
     now = docs.select(*keep, F.col(text).alias("_text"))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
