@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspark.llm import bpe, simhash, toxicity
-from lumenspark.llm.common import stored
+from lumenspark.llm.common import ROW, identified, stored
 from lumenspark.llm.lines import LineIndex, without_copies
 from lumenspark.llm.mixing import Mix
 from lumenspark.llm.queries_b import tokenizer_path
@@ -40,7 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source is taken up to its target: a row for each document and epoch, with the words that the mix takes."""
-    made = Mix.of(docs, keep=docs.columns).texts("text")
+    made = Mix.of(identified(docs), keep=ROW).texts(docs, "text")
     return made.select(*[_length("text", docs) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

