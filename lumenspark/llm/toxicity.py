@@ -26,13 +26,11 @@ from pyspark.sql import functions as F
 
 from lumenspark.llm.common import bounded_batches, sliced, stored
 
-#: Labelled examples of each class; features kept at most; fewest examples of a feature, and the least gain in
-#: log-likelihood that it must bring, which comes to a feature by chance once in a hundred thousand times;
-#: neighbours asked; examples of a block.
+#: Labelled examples of each class; features kept at most; fewest examples of a feature; neighbours asked; examples
+#: of a block.
 EXAMPLES = 2000
-FEATURES = 1024
+FEATURES = 4096
 LEAST_EXAMPLES = 3
-LEAST_GAIN = 10.0
 NEIGHBOURS = 15
 BLOCK = 64
 #: Lengths of word beginnings that are features too.
@@ -280,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     n = F.col("t") + F.col("c")
     gain = part(F.col("t"), n * one / (one + zero)) + part(F.col("c"), n * zero / (one + zero)) + part(one - F.col("t"), (one + zero - n) * one / (one + zero)) + part(zero - F.col("c"), (one + zero - n) * zero / (one + zero))
-    best = classes.where(n >= LEAST_EXAMPLES).select("name", F.round(gain, 6).alias("gain")).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "name").limit(FEATURES).collect() if len(set(chosen.values())) == 2 else []
+    best = classes.where(n >= LEAST_EXAMPLES).select("name", F.round(gain, 6).alias("gain")).orderBy(F.desc("gain"), "name").limit(FEATURES).collect() if len(set(chosen.values())) == 2 else []
     vocabulary = {r["name"]: i for i, r in enumerate(best)}
     total, frequency = document_frequencies(rows, "_text", vocabulary)
     idf = np.log((1 + total) / (1 + frequency)) + 1

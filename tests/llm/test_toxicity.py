@@ -59,3 +59,14 @@ def test_edge_rows(spark):
     one = toxicity.fit(docs, labels.where("toxic = 0"))
     assert max(r.score for r in toxicity.score(docs, one, ["doc_id"]).collect()) < 0.5
     assert toxicity.score(docs.where("false"), toxicity.fit(docs.where("false"), labels), ["doc_id"]).count() == 0
+
+
+def test_features_of_few_examples_stay(spark):
+    # four toxic examples of twelve: the gain of the word that tells them is 7.6
+    ids = [i for i in range(30) if zlib.crc32(str(i).encode()) % 5][:12]
+    docs = spark.createDataFrame([(i, f"a{chr(97 + n)} {'idiot' if n < 4 else 'fine'} b{chr(97 + n)} c{chr(97 + n)}") for n, i in enumerate(ids)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(n < 4)) for n, i in enumerate(ids)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert {"idiot", "fine"} <= set(model.index.vocabulary)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    assert min(got[i] for i in ids[:4]) > max(got[i] for i in ids[4:])
