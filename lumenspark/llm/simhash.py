@@ -28,9 +28,11 @@ from lumenspark.llm.components import components
 #: Fixed values of the contract: XXH64's seed, and the length of the perfect code's words.
 SEED = 42
 CODE = 15
-#: For near-duplicates by similarity: words of a shingle and of a fingerprint, blocks, and places that may differ.
-#: Two texts that share 0.8 of their shingles differ in 39 of 256 places on average, with a deviation of 6.
-WIDTH, WORDS, BLOCKS, BITS = 5, 4, 14, 45
+#: For near-duplicates by similarity: words of a shingle and of a fingerprint, blocks, places in which candidates may
+#: differ, and the least similarity of shingle sets. Two texts that share 0.8 of their shingles differ in 39 of 256
+#: places on average, with a deviation of 6.
+WIDTH, WORDS, BLOCKS, BITS = 5, 4, 14, 64
+SIMILARITY = 0.8
 #: Rows of an anchor beyond which its comparisons are dealt to several cells.
 CELL = 8192
 #: Pairs compared at a time.
@@ -83,18 +85,23 @@ def fingerprint(data: bytes | None, width: int, words: int = 1) -> list[int]:
     return [majority(mixed(hashes, k)) for k in range(words)]
 
 
-def fingerprints(docs: DataFrame, text: str, keep: list[str], width: int, words: int = 1) -> DataFrame:
-    """The columns ``keep`` and ``fp``, the fingerprint's words as signed bigints. A null text has no words."""
+def fingerprints(docs: DataFrame, text: str, keep: list[str], width: int, words: int = 1, sets: bool = False) -> DataFrame:
+    """The columns ``keep`` and ``fp``, the fingerprint's words as signed bigints. A null text has no words.
+
+    With ``sets`` also ``same``, a hash of the set of shingles.
+    """
     bounded_batches(docs.sparkSession)
     kept = docs.select(*keep, F.col(text).cast("binary").alias("_data"))
-    schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep) + ", fp array<bigint>"
+    schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep) + ", fp array<bigint>" + ", same bigint" * sets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch):
-                found = np.array([fingerprint(x, width, words) for x in part.column(len(keep)).to_pylist()], np.uint64).reshape(-1, words)
+                hashes = [shingle_hashes(x, width) for x in part.column(len(keep)).to_pylist()]
+                found = np.array([[majority(mixed(h, k)) for k in range(words)] for h in hashes], np.uint64).reshape(-1, words)
                 offsets = pa.array(np.arange(0, found.size + 1, words, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.ListArray.from_arrays(offsets, pa.array(found.view(np.int64).ravel()))], names=[*keep, "fp"])
+                same = [pa.array(np.array([xxhash.xxh64_intdigest(np.unique(h).tobytes(), SEED) for h in hashes], np.uint64).view(np.int64))] if sets else []
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.ListArray.from_arrays(offsets, pa.array(found.view(np.int64).ravel())), *same], names=[*keep, "fp", *["same"] * sets])
 
     return kept.mapInArrow(run, schema)
 
@@ -152,8 +159,18 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[tied], nodes[label[tied]]
 
 
-def links(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, role: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forest of the links within the cells; rows are sorted by cell. Role 1: asks; 2: is asked; 3: both."""
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each unordered pair once, the lesser value first."""
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def links(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, role: np.ndarray, bits: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Forest of the links within the cells; rows are sorted by cell. Role 1: asks; 2: is asked; 3: both.
+
+    With ``group``, each link between different groups instead.
+    """
+    slim = forest if group is None else distinct
     bounds = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
     found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     size = np.repeat(np.diff(bounds), np.diff(bounds))
@@ -179,12 +196,14 @@ def links(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, role: np.ndarray,
                 if len(words) > 1:
                     i, j, apart = i[near], j[near], apart[near]
             near = (apart <= bits) & (node[i] != node[j]) & asked[j]
+            if group is not None:
+                near &= group[i] != group[j]
             if near.any():
-                a, b = forest(node[i[near]], node[j[near]])
+                a, b = slim(node[i[near]], node[j[near]])
                 found_a.append(a)
                 found_b.append(b)
         at = upto
-    return forest(np.concatenate(found_a), np.concatenate(found_b))
+    return slim(np.concatenate(found_a), np.concatenate(found_b))
 
 
 def fingerprint_links(fps: DataFrame, bits: int, blocks: int | None = None) -> DataFrame:
@@ -193,9 +212,11 @@ def fingerprint_links(fps: DataFrame, bits: int, blocks: int | None = None) -> D
     ``fps`` has a bigint ``node`` and array ``fp`` for each distinct fingerprint. All links are found whose blocks leave one
     with a step at most; with the default number of blocks that is every link. Cells take an anchor's rows; an anchor
     with more than CELL rows is dealt to a square of cells, each row to a line of them, so that no task holds an
-    unbounded group.
+    unbounded group. Where ``fps`` has a bigint ``group``, all links between different groups are given, some repeated.
     """
     blocks = blocks or bits // 2 + 1
+    grouped = "group" in fps.columns
+    extra = ["group"] * grouped
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,12 +225,12 @@ def fingerprint_links(fps: DataFrame, bits: int, blocks: int | None = None) -> D
                 nodes, values = np.asarray(part.column(0)), np.asarray(part.column(1).flatten()).view(np.uint64).reshape(part.num_rows, -1)
                 for anchor, row, home in anchors(values, blocks):
                     offsets = pa.array(np.arange(0, row.size * values.shape[1] + 1, values.shape[1], dtype=np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(nodes[row]), pa.ListArray.from_arrays(offsets, pa.array(values[row].view(np.int64).ravel())), pa.array(home)], names=["anchor", "node", "fp", "home"])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(nodes[row]), pa.ListArray.from_arrays(offsets, pa.array(values[row].view(np.int64).ravel())), pa.array(home), *[pa.array(np.asarray(c)[row]) for c in part.columns[2:]]], names=["anchor", "node", "fp", "home", *extra])
 
     wide = fps.select(F.size("fp")).first()
     wide = wide[0] if wide else 1
-    placed = fps.select("node", "fp").mapInArrow(replicate, "anchor bigint, node bigint, fp array<bigint>, home boolean")
-    placed = placed.select("anchor", "node", "home", *[F.col("fp")[k].alias(f"w{k}") for k in range(wide)])
+    placed = fps.select("node", "fp", *extra).mapInArrow(replicate, "anchor bigint, node bigint, fp array<bigint>, home boolean" + ", group bigint" * grouped)
+    placed = placed.select("anchor", "node", "home", *extra, *[F.col("fp")[k].alias(f"w{k}") for k in range(wide)])
     # written, so that the planner knows how small it is and needn't deal the replicas out for it
     hot = stored(placed.groupBy("anchor").count().where(F.col("count") > CELL).select(F.col("anchor").alias("hot"), F.ceil(F.col("count") / CELL).cast("int").alias("side")), "hot")
     dealt = placed.join(hot, placed.anchor == hot.hot, "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("side", F.lit(1))).cast("int"))
@@ -222,13 +243,13 @@ def fingerprint_links(fps: DataFrame, bits: int, blocks: int | None = None) -> D
     asked = F.transform(every, lambda k: F.struct(cells(k, F.col("own")).alias("cell"), F.lit(2).alias("role")))
     asking = F.when(F.col("home"), F.transform(every, lambda k: F.struct(cells(F.col("own"), k).alias("cell"), F.lit(1).alias("role")))).otherwise(F.array())
     names = [f"w{k}" for k in range(wide)]
-    spread = dealt.select("node", *names, F.inline(F.when(F.col("side").isNull(), one).otherwise(F.concat(asked, asking))))
+    spread = dealt.select("node", *extra, *names, F.inline(F.when(F.col("side").isNull(), one).otherwise(F.concat(asked, asking))))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
         def of(node: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
-            a, b = links(rest[-2], node, np.stack([w.view(np.uint64) for w in rest[:-2]], axis=1), rest[-1], bits)
+            a, b = links(rest[-2], node, np.stack([w.view(np.uint64) for w in rest[grouped:-2]], axis=1), rest[-1], bits, rest[0] if grouped else None)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
@@ -272,17 +293,42 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     return marked.join(known, "fp").select(F.col("_key").alias(key), F.col("fp")[0].alias("fp"), "component_id")
 
 
-def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, words: int = WORDS, blocks: int = BLOCKS, bits: int = BITS) -> DataFrame:
+def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles share ``least`` or more of their union. ``texts`` has node and _text."""
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch):
+                sets = [np.unique(shingle_hashes(x, width)).view(np.int64) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    own = texts.join(ends, "node", "left_semi").select("node", F.col("_text").cast("binary").alias("_data"))
+    own = stored(own.mapInArrow(run, "node bigint, shingles array<bigint>"), "shingles")
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = both.withColumn("_n", F.size(F.array_intersect("x", "y")))
+    return stored(both.where(F.col("_n") >= F.lit(least) * (F.size("x") + F.size("y") - F.col("_n")) - 1e-9).select("a", "b"), "similar")
+
+
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, words: int = WORDS, blocks: int = BLOCKS, bits: int = BITS, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each component the row of least key stays, once if it is repeated.
 
-    Fingerprints of ``words`` words estimate the similarity of shingle sets; links reach from equality down to about
-    0.8. Those that leave some block with a step at most are found: with the defaults all of up to 27 places, and of
-    two texts that share 0.8 of their shingles, 97 in 100. Texts without words are equal and one of them stays.
+    Links are pairs whose sets of shingles share ``least`` or more, computed from the sets. Fingerprints of ``words``
+    words only bring the candidates: pairs of up to ``bits`` places that leave some block with a step at most. A forest
+    of the candidates is verified first, then every candidate that its links leave in different components. Texts
+    without words are equal and one of them stays.
     """
     rows = identified(docs)
-    marked = stored(fingerprints(rows.select(*ROW, F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", [*ROW, "_key"], width, words), "marked")
-    known = classes(marked.select("_key", "fp"), bits, blocks).select("fp", "root", "component_id")
-    # of the rows with a component's least key, one fingerprint and one row stay
-    least = marked.join(known, "fp").where(F.col("_key").eqNullSafe(F.col("component_id")))
-    stays = least.groupBy("root").agg(F.min(F.struct("fp", *ROW)).alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in ROW])
+    marked = stored(fingerprints(rows.select(*ROW, F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", [*ROW, "_key"], width, words, sets=True), "marked")
+    nodes = cut(marked.groupBy("fp", "same").agg(F.min("_key").alias("least"), F.min(F.struct(*ROW)).alias("_row")).withColumn("node", F.xxhash64("fp", "same")))
+    texts = once(rows.select(*ROW, F.col(text).alias("_text")).join(nodes.select("node", *[F.col(f"_row.{c}").alias(c) for c in ROW]), ROW))
+    first = similar(fingerprint_links(nodes, bits, blocks), texts, width, least)
+    joined = cut(nodes.join(components(first), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("group")))
+    second = similar(fingerprint_links(joined, bits, blocks), texts, width, least)
+    rooted = cut(nodes.join(components(first.unionByName(second)), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    known = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "same", "root", "component_id")
+    # of the rows with a component's least key, one text and one row stay
+    lowest = marked.join(known, ["fp", "same"]).where(F.col("_key").eqNullSafe(F.col("component_id")))
+    stays = lowest.groupBy("root").agg(F.min(F.struct("fp", *ROW)).alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in ROW])
     return once(rows.join(stays, ROW)).select(*docs.columns)

@@ -124,3 +124,20 @@ def test_wide_recall_at_similarity(spark):
         met = any(((x[w] ^ y[w]) >> first & ((1 << n) - 1)).bit_count() <= 1 for w, first, n in simhash.block_places(simhash.WORDS, simhash.BLOCKS))
         hits += apart <= simhash.BITS and met
     assert hits / 300 > 0.78, hits
+
+
+def test_deduplicated_verifies_similarity(spark):
+    rng = np.random.default_rng(11)
+    rows, want = [], set()
+    for g in range(120):  # a run of words of the second text is other: about 0.72 or 0.85 of the shingles are shared
+        words = [f"w{rng.integers(0, 10**6)}" for _ in range(204)]
+        own = list(words)
+        for at in range(50, 50 + (28 if g % 2 else 12)):
+            own[at] = f"x{rng.integers(0, 10**6)}"
+        sets = [{tuple(w[i : i + 5]) for i in range(200)} for w in (words, own)]
+        share = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        assert share < 0.75 if g % 2 else share > 0.83
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(own))]
+        want |= {2 * g, 2 * g + 1} if g % 2 else {2 * g}
+    got = [r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert len(got) == len(set(got)) and want <= set(got) and len(set(got) - want) <= 2
