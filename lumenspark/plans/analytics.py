@@ -164,9 +164,13 @@ def merge_coverage(spark: SparkSession, folder: str) -> DataFrame:
 def iou_pairs(spark: SparkSession, folder: str) -> DataFrame:
     from lumenspark.functions.geometry import iou
 
-    b = table(spark, folder, "lineitem").where("l_orderkey % 40 = 0").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("x1"), (F.col("l_discount") * 100).alias("y1"), (F.col("l_quantity") + 10 + F.col("l_linenumber")).alias("x2"), (F.col("l_discount") * 100 + F.col("l_tax") * 100 + 1).alias("y2")).distinct()
-    other = b.select("l_suppkey", F.col("id").alias("other"), *[F.col(c).alias(f"b{c}") for c in selection.BOX])
-    pairs = b.join(other, "l_suppkey").where("id < other")
+    b = table(spark, folder, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("x1"), (F.col("l_discount") * 100).alias("y1"), (F.col("l_quantity") + 10 + F.col("l_linenumber")).alias("x2"), (F.col("l_discount") * 100 + F.col("l_tax") * 100 + 1).alias("y2")).distinct()
+    # boxes meet in the grid cells that they share, a pair in the first of them
+    cell = {c: F.floor(F.col(c) / size).cast("bigint") for c, size in zip(selection.BOX, (16, 4, 16, 4), strict=True)}
+    b = b.withColumn("gx", F.explode(F.sequence(cell["x1"], cell["x2"]))).withColumn("gy", F.explode(F.sequence(cell["y1"], cell["y2"])))
+    other = b.select("l_suppkey", "gx", "gy", F.col("id").alias("other"), *[F.col(c).alias(f"b{c}") for c in selection.BOX])
+    first = [F.floor(F.greatest(c, f"b{c}") / size) == F.col(g) for c, size, g in (("x1", 16, "gx"), ("y1", 4, "gy"))]
+    pairs = b.join(other, ["l_suppkey", "gx", "gy"]).where("id < other").where(first[0] & first[1])
     value = iou(tuple(F.col(c) for c in selection.BOX), tuple(F.col(f"b{c}") for c in selection.BOX))
     return _rounded(pairs.select("l_suppkey", "id", "other", value.alias("iou")).where("iou > 0"), "iou")
 

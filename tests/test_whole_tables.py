@@ -2,7 +2,7 @@
 
 import duckdb
 
-from lumenspark.plans import composite
+from lumenspark.plans import analytics, composite
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -37,3 +37,12 @@ def test_bootstrap_draws_all_images(spark, monkeypatch):
     monkeypatch.setattr(composite.detection, "paired_intervals", lambda replicates, points, baseline: points)
     composite.paired_bootstrap(spark, FOLDER)
     assert seen == [(rows("select count(distinct l_orderkey) from lineitem")[0][0], 2000)]
+
+
+def test_iou_pairs_of_all_line_items(spark):
+    sql = analytics.ORACLE_SQL["iou_pairs"].replace(" WHERE l_orderkey % 40 = 0", "")
+    assert "% 40" not in sql
+    want = rows(sql)
+    got = sorted(map(tuple, analytics.iou_pairs(spark, FOLDER).select("l_suppkey", "id", "other", "iou").collect()))
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert max(abs(g[3] - w[3]) for g, w in zip(got, want, strict=True)) < 2e-7
