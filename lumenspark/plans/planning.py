@@ -29,7 +29,7 @@ def legal_transitions(spark: SparkSession, folder: str) -> DataFrame:
 def stage_graph(spark: SparkSession, folder: str) -> DataFrame:
     line = F.array(*map(F.lit, study.LDR))
     n = len(study.LDR) - 1
-    stages = table(spark, folder, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("pipeline"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("idx"))
+    stages = table(spark, folder, "orders").select(F.col("o_orderkey").alias("pipeline"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("idx"))
     skip = (F.col("pipeline") % 70 == 0) & (F.col("idx") == 5)
     stages = stages.select("pipeline", F.lit("ldr").alias("mode"), "idx", F.element_at(line, F.col("idx") + 1).alias("input_domain"), F.element_at(line, F.least(F.col("idx") + 2 + skip.cast("int"), F.lit(n + 1))).alias("output_domain"), F.lit("1").alias("input_units"), F.when((F.col("pipeline") % 110 == 0) & (F.col("idx") == 2), "e").otherwise("1").alias("output_units"))
     return study.illegal_stages(stages, study.transitions(spark)).select("pipeline", "idx", "problem")

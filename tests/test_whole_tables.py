@@ -2,7 +2,7 @@
 
 import duckdb
 
-from lumenspark.plans import analytics, composite
+from lumenspark.plans import analytics, composite, planning
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -46,3 +46,22 @@ def test_iou_pairs_of_all_line_items(spark):
     got = sorted(map(tuple, analytics.iou_pairs(spark, FOLDER).select("l_suppkey", "id", "other", "iou").collect()))
     assert [r[:3] for r in got] == [r[:3] for r in want]
     assert max(abs(g[3] - w[3]) for g, w in zip(got, want, strict=True)) < 2e-7
+
+
+def test_stage_graph_of_all_orders(spark):
+    sql = planning.ORACLE_SQL["stage_graph"].replace(" WHERE o_orderkey % 10 = 0", "")
+    # illegal stages come of multiples of 70 and 110; the stages of all other orders are looked at as well
+    seen = []
+    real = planning.study.illegal_stages
+    planning.study.illegal_stages = lambda stages, legal: seen.append(stages) or real(stages, legal)
+    try:
+        got = sorted(map(tuple, planning.stage_graph(spark, FOLDER).select("pipeline", "idx", "problem").collect()))
+    finally:
+        planning.study.illegal_stages = real
+    assert got == rows(sql)
+    assert [(seen[0].select("pipeline").distinct().count(),)] == rows("select count(distinct o_orderkey) from orders")
+
+
+def test_render_forward_of_all_vectors(spark):
+    got = composite.render_forward(spark, FOLDER).select("image_id").collect()
+    assert sorted(map(tuple, got)) == rows("select vec_id from embeddings")
