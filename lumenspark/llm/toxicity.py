@@ -36,8 +36,9 @@ BLOCK = 64
 #: Lengths of word beginnings that are features too.
 BEGINNINGS = (4, 5)
 #: Least hashes that tell copies among the examples, and how many must agree in a row: texts that share 0.8 are told
-#: 97 times in 100, those that share 0.1 once in 200.
+#: 97 times in 100, those that share 0.1 once in 200; and the share of their runs that makes them copies.
 MARKS, BAND = 15, 3
+COPY = 0.8
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -83,18 +84,22 @@ class Known:
         return found
 
 
-def sketch(text: str | None) -> list[int]:
-    """Least hashes, under MARKS orders, of a text's runs of three words; texts that share 0.8 share most of them."""
+def sketch(text: str | None) -> tuple[list[int], bytes]:
+    """Least hashes, under MARKS orders, of a text's runs of three words, which texts that share 0.8 mostly share; and the set of runs."""
     words = (text or "").lower().split()
     runs = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
-    hashes = np.array([zlib.crc32(r.encode()) for r in runs], np.uint64)
+    hashes = np.unique(np.array([zlib.crc32(r.encode()) for r in runs], np.uint64))
     orders = np.arange(1, 2 * MARKS, 2, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
-    return ((hashes[None, :] + np.uint64(1)) * orders >> np.uint64(33)).min(axis=1).astype(np.int64).tolist()
+    return ((hashes[None, :] + np.uint64(1)) * orders >> np.uint64(33)).min(axis=1).astype(np.int64).tolist(), hashes.astype("<u4").tobytes()
 
 
 def without_copies(sketches: list[tuple]) -> set:
-    """One key, the least, of each group of examples that share a band of marks: copies would outvote what they repeat."""
-    root: dict = {k: k for k, _ in sketches}
+    """One key, the least, of each group of near copies among (key, class, marks, runs): copies would outvote what they repeat.
+
+    Examples of one class that share a band of marks are compared, and joined if they share COPY of their runs or more.
+    """
+    root: dict = {r[0]: r[0] for r in sketches}
+    runs = {r[0]: np.frombuffer(r[3], "<u4") for r in sketches}
 
     def top(k):
         while root[k] != k:
@@ -102,11 +107,18 @@ def without_copies(sketches: list[tuple]) -> set:
         return k
 
     held: dict = {}
-    for k, marks in sorted(sketches, key=lambda r: (str(r[0]), r[0])):
+    for k, toxic, marks, _ in sorted(sketches, key=lambda r: (str(r[0]), r[0])):
         for at in range(0, MARKS, BAND):
-            first, own = top(held.setdefault((at, *marks[at : at + BAND]), k)), top(k)
-            low, high = sorted((first, own), key=lambda x: (str(x), x))
-            root[high] = low
+            met = held.setdefault((toxic, at, *marks[at : at + BAND]), [])
+            for other in met:
+                first, own = top(other), top(k)
+                if first == own:
+                    continue
+                n = len(np.intersect1d(runs[other], runs[k], assume_unique=True))
+                if n >= COPY * (len(runs[other]) + len(runs[k]) - n) - 1e-9:
+                    low, high = sorted((first, own), key=lambda x: (str(x), x))
+                    root[high] = low
+            met.append(k)
     return {top(k) for k in root}
 
 
@@ -255,19 +267,21 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch):
-                key_, toxic, names, counts, marks = [], [], [], [], []
+                key_, toxic, names, counts, marks, runs = [], [], [], [], [], []
                 for k, t, y in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     found = counted(words_of(t))
                     key_.append(k)
                     toxic.append(y)
                     names.append(list(found))
                     counts.append(list(found.values()))
-                    marks.append(sketch(t))
-                yield pa.RecordBatch.from_arrays([pa.array(key_, part.schema.field(0).type), pa.array(toxic, pa.int32()), pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))], names=["_key", "_toxic", "names", "counts", "marks"])
+                    own = sketch(t)
+                    marks.append(own[0])
+                    runs.append(own[1])
+                yield pa.RecordBatch.from_arrays([pa.array(key_, part.schema.field(0).type), pa.array(toxic, pa.int32()), pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64())), pa.array(runs, pa.binary())], names=["_key", "_toxic", "names", "counts", "marks", "runs"])
 
     kind = rows.schema["_key"].dataType.simpleString()
-    vectors = stored(examples.select("_key", "_text", "_toxic").mapInArrow(features, f"_key {kind}, _toxic int, names array<string>, counts array<bigint>, marks array<bigint>"), "examples")
-    single = without_copies([(r["_key"], r["marks"]) for r in vectors.select("_key", "marks").collect()])
+    vectors = stored(examples.select("_key", "_text", "_toxic").mapInArrow(features, f"_key {kind}, _toxic int, names array<string>, counts array<bigint>, marks array<bigint>, runs binary"), "examples")
+    single = without_copies([tuple(r) for r in vectors.select("_key", "_toxic", "marks", "runs").collect()])
     chosen = {k: y for k, y in chosen.items() if k in single}
     vectors = vectors.join(F.broadcast(spark.createDataFrame([(k,) for k in chosen], rows.select("_key").schema)), "_key")
     one, zero = max(1, sum(chosen.values())), max(1, len(chosen) - sum(chosen.values()))

@@ -70,3 +70,11 @@ def test_features_of_few_examples_stay(spark):
     assert {"idiot", "fine"} <= set(model.index.vocabulary)
     got = {r.doc_id: r.score for r in toxicity.score(docs, model, ["doc_id"]).collect()}
     assert min(got[i] for i in ids[:4]) > max(got[i] for i in ids[4:])
+
+
+def test_copies_are_of_one_class_and_share_most_runs():
+    base = [f"w{i}" for i in range(100)]
+    texts = {1: (0, base), 2: (1, base), 3: (0, base[:95] + ["x"] * 5), 4: (0, base[:60] + [f"y{i}" for i in range(40)])}
+    examples = [(k, toxic, *toxicity.sketch(" ".join(words))) for k, (toxic, words) in texts.items()]
+    one = [(k, toxic, [0] * toxicity.MARKS, runs) for k, toxic, _, runs in examples]  # all share every band
+    assert toxicity.without_copies(one) == {1, 2, 4}
