@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -94,6 +97,17 @@ def map_rows(frame: DataFrame, schema: str | T.StructType, fn: Callable[[dict[st
     return frame.mapInArrow(run, schema)
 
 
+def tidy() -> None:
+    """Called at the end of a task's Python part: gives what its allocators hold back to the system.
+
+    Spark uses a Python worker again for the next task, so what one stage leaves would be added to the next one's.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sliced(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into slices of about ``most`` bytes, a row at least, so that Python holds little at a time."""
     rows = batch.num_rows

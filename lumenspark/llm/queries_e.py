@@ -11,7 +11,7 @@ from lumenspark.llm import pii, toxicity
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
-    found = toxicity.score(docs, model, ["doc_id"])
+    found = toxicity.score(docs, model, ["doc_id"], evidence=0)
     return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -1,12 +1,14 @@
 """Toxicity by the nearest labelled examples, with exact TF-IDF cosine over a block-max inverted index.
 
-A bounded sample of labelled documents (EXAMPLES of each class, those whose ids hash lowest, near copies once) is turned into TF-IDF
-vectors over the FEATURES words and word beginnings that tell the classes apart best; the document frequencies behind
-the weights are counted over the whole corpus. Their postings are kept by blocks of examples with each block's largest
-weight, so a query bounds the cosine that any example of a block can reach, scores the most promising blocks and then
-only those whose bound exceeds the k-th best cosine: the neighbours are exact. Their votes, weighted by cosine, are
-calibrated on the examples themselves, each left out in turn, at the class shares of all labelled rows. The index is
-bounded by EXAMPLES and FEATURES and is broadcast; every document is scored whole, where it is read.
+A bounded sample of labelled documents (EXAMPLES of each class, those whose ids hash lowest, near copies once) is turned
+into TF-IDF vectors over all words that any of them holds: none is left out. The document frequencies behind the weights
+are counted over the whole corpus, and a word's weight is scaled by what it tells of the class among the examples (its
+log-likelihood ratio), for plain TF-IDF finds the neighbours of a text's subject rather than of its tone. The postings are
+kept by blocks of examples with each block's largest weight, so a query bounds the cosine that any example of a block can
+reach, scores the most promising blocks and then only those whose bound exceeds the k-th best cosine: the neighbours are
+exact. Their votes, weighted by cosine, are calibrated on the examples themselves, each left out in turn, at the class
+shares of all labelled rows. The index is bounded by the words of 2 * EXAMPLES texts and is broadcast; every document is
+scored whole, where it is read.
 """
 
 from __future__ import annotations
@@ -17,37 +19,23 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import bounded_batches, sliced, stored
+from lumenspark.llm.common import bounded_batches, sliced, stored, tidy
 
-#: Labelled examples of each class; features kept at most; fewest examples of a feature; neighbours asked; examples
-#: of a block.
+#: Labelled examples of each class; neighbours asked; examples of a block; the share of runs that makes a copy.
 EXAMPLES = 2000
-FEATURES = 4096
-LEAST_EXAMPLES = 3
 NEIGHBOURS = 15
 BLOCK = 64
-#: Lengths of word beginnings that are features too.
-BEGINNINGS = (4, 5)
-#: Least hashes that tell copies among the examples, and how many must agree in a row: texts that share 0.8 are told
-#: 97 times in 100, those that share 0.1 once in 200; and the share of their runs that makes them copies.
-MARKS, BAND = 15, 3
 COPY = 0.8
 
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def features_of(word: str) -> tuple[str, ...]:
-    """The word and, marked by a leading hyphen, its beginnings."""
-    return (word, *(f"-{word[:n]}" for n in BEGINNINGS if len(word) >= n))
-
-
 def words_of(text: str | None) -> Counter[str]:
     """Runs of letters, lower-cased. What stands between white space is looked into only if it isn't all letters."""
     found = Counter(text.lower().split()) if text else Counter()
@@ -58,73 +46,57 @@ def words_of(text: str | None) -> Counter[str]:
     return found
 
 
-def counted(words: Counter[str]) -> dict[str, int]:
-    """Counts of all features of a text."""
-    found: dict[str, int] = {}
-    for word, n in words.items():
-        for f in features_of(word):
-            found[f] = found.get(f, 0) + n
-    return found
-
-
-class Known:
-    """Counts of a vocabulary's features. Words are met with it as sets; only those that share one are looked at."""
+def counted(words: Counter[str], vocabulary: dict[str, int]) -> dict[int, int]:
+    """Counts of the vocabulary's words, by their numbers."""
+    return {vocabulary[w]: words[w] for w in vocabulary.keys() & words.keys()}
 
-    def __init__(self, vocabulary: dict[str, int]):
-        self.words = {f: i for f, i in vocabulary.items() if f[0] != "-"}
-        self.heads = [(n, itemgetter(slice(0, n)), own) for n in BEGINNINGS if (own := {f[1:]: i for f, i in vocabulary.items() if f[0] == "-" and len(f) == n + 1})]
 
-    def counted(self, words: Counter[str]) -> dict[int, int]:
-        found = {self.words[w]: words[w] for w in self.words.keys() & words.keys()}
-        for n, head, own in self.heads:
-            if met := own.keys() & set(map(head, words)):
-                for word, count in words.items():
-                    if (h := word[:n]) in met:
-                        found[own[h]] = found.get(own[h], 0) + count
-        return found
-
-
-def sketch(text: str | None) -> tuple[list[int], bytes]:
-    """Least hashes, under MARKS orders, of a text's runs of three words, which texts that share 0.8 mostly share; and the set of runs."""
+def runs_of(text: str | None) -> np.ndarray:
+    """The set of a text's runs of three words, as hashes; a shorter text is one run."""
     words = (text or "").lower().split()
     runs = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
-    hashes = np.unique(np.array([zlib.crc32(r.encode()) for r in runs], np.uint64))
-    orders = np.arange(1, 2 * MARKS, 2, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
-    return ((hashes[None, :] + np.uint64(1)) * orders >> np.uint64(33)).min(axis=1).astype(np.int64).tolist(), hashes.astype("<u4").tobytes()
+    return np.unique(np.array([zlib.crc32(r.encode()) for r in runs], np.uint32))
 
 
-def without_copies(sketches: list[tuple]) -> set:
-    """One key, the least, of each group of near copies among (key, class, marks, runs): copies would outvote what they repeat.
+def without_copies(examples: list[tuple]) -> set:
+    """The keys of (key, class, runs) less near copies, which would outvote what they repeat.
 
-    Examples of one class that share a band of marks are compared, and joined if they share COPY of their runs or more.
+    In the order of keys, an example is a copy if it shares COPY of its runs, or more, with one of its class that stays.
+    Runs meet through postings, so nothing is compared that shares none.
     """
-    root: dict = {r[0]: r[0] for r in sketches}
-    runs = {r[0]: np.frombuffer(r[3], "<u4") for r in sketches}
-
-    def top(k):
-        while root[k] != k:
-            root[k] = k = root[root[k]]
-        return k
-
-    held: dict = {}
-    for k, toxic, marks, _ in sorted(sketches, key=lambda r: (str(r[0]), r[0])):
-        for at in range(0, MARKS, BAND):
-            met = held.setdefault((toxic, at, *marks[at : at + BAND]), [])
-            for other in met:
-                first, own = top(other), top(k)
-                if first == own:
-                    continue
-                n = len(np.intersect1d(runs[other], runs[k], assume_unique=True))
-                if n >= COPY * (len(runs[other]) + len(runs[k]) - n) - 1e-9:
-                    low, high = sorted((first, own), key=lambda x: (str(x), x))
-                    root[high] = low
-            met.append(k)
-    return {top(k) for k in root}
+    kept: set = set()
+    for toxic in sorted({r[1] for r in examples}):
+        own = sorted((r for r in examples if r[1] == toxic), key=lambda r: (str(r[0]), r[0]))
+        size = np.array([len(r[2]) for r in own], np.int64)
+        run = np.unique(np.concatenate([r[2] for r in own]), return_inverse=True)[1]
+        posting = np.repeat(np.arange(len(own)), size)[np.argsort(run, kind="stable")]
+        end = np.cumsum(np.bincount(run))
+        stays = np.zeros(len(own), bool)
+        for i, at in enumerate((np.cumsum(size) - size).tolist()):
+            mine = run[at : at + size[i]]
+            shared = np.bincount(posting[ranges(np.where(mine > 0, end[mine - 1], 0), end[mine])[0]], minlength=len(own))
+            stays[i] = not (stays & (shared >= COPY * (size + size[i] - shared) - 1e-9)).any()
+        kept |= {own[i][0] for i in np.flatnonzero(stays).tolist()}
+    return kept
+
+
+def class_information(words: np.ndarray, toxic: np.ndarray, size: int, one: int, zero: int) -> np.ndarray:
+    """For each of ``size`` words, twice its log-likelihood ratio between the classes; one place of ``words`` and its
+    example's class for each word that an example holds, ``one`` and ``zero`` examples of the classes in all."""
+    t = np.bincount(words, toxic, size)
+    c = np.bincount(words, 1 - toxic, size)
+
+    def term(n: np.ndarray, share: np.ndarray) -> np.ndarray:
+        return np.where(n > 0, n * np.log(np.maximum(n, 1) / np.where(share > 0, share, 1)), 0.0)
+
+    n, every = t + c, one + zero
+    return 2 * np.maximum(0.0, term(t, n * one / every) + term(c, n * zero / every) + term(one - t, (every - n) * one / every) + term(zero - c, (every - n) * zero / every))
 
 
 @dataclass(frozen=True)
 class Index:
-    """Postings by feature and block. ``weights`` of an example and a query are of unit length."""
+    """Postings by word and block. Weights of an example and a query are of unit length; ``idf`` is what a word's
+    count is weighed by."""
 
     vocabulary: dict[str, int]
     idf: np.ndarray
@@ -199,11 +171,14 @@ def ranges(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unit(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features in order and their TF-IDF weights, of length 1."""
-    features = np.array(sorted(counts), np.int64)
-    weights = (1 + np.log(np.array([counts[f] for f in features.tolist()], float))) * idf[features] if len(features) else np.zeros(0)
+    """Words in order and their weights, of length 1; those of no weight are left out."""
+    words = np.fromiter(counts.keys(), np.int64, len(counts))
+    weights = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * idf[words]
+    some = np.flatnonzero(weights > 0)
+    some = some[np.argsort(words[some])]
+    words, weights = words[some], weights[some]
     length = math.sqrt(float(weights @ weights))
-    return (features, weights / length) if length else (features[:0], weights[:0])
+    return (words, weights / length) if length else (words[:0], weights[:0])
 
 
 def vote(index: Index, found: np.ndarray, cosines: np.ndarray) -> float | None:
@@ -250,7 +225,7 @@ def held_out(key: str):
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learns from the labels of rows that are not held out. Null labels don't count; of several the largest does.
 
-    Without labelled examples, or with one class alone, there are no features and all scores are the class's rate.
+    Without labelled examples, or with one class alone, no word tells anything and all scores are the class's rate.
     """
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -260,100 +235,113 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = stored(known.join(rows.select("_key").distinct(), "_key", "left_semi"), "labels")
     totals = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
     picked = [r for c in (0, 1) for r in known.where(F.col("_toxic") == c).orderBy(F.xxhash64("_key", F.lit(7)), "_key").limit(EXAMPLES).collect()]
-    chosen = {r["_key"]: r["_toxic"] for r in picked}  # 2 * EXAMPLES ids at most
-    ids = spark.createDataFrame(list(chosen.items()), known.schema)
+    ids = spark.createDataFrame([tuple(r) for r in picked], known.schema)  # 2 * EXAMPLES ids at most
     examples = rows.join(F.broadcast(ids), "_key").dropDuplicates(["_key"])
 
-    def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch):
-                key_, toxic, names, counts, marks, runs = [], [], [], [], [], []
-                for k, t, y in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    found = counted(words_of(t))
-                    key_.append(k)
-                    toxic.append(y)
-                    names.append(list(found))
-                    counts.append(list(found.values()))
-                    own = sketch(t)
-                    marks.append(own[0])
-                    runs.append(own[1])
-                yield pa.RecordBatch.from_arrays([pa.array(key_, part.schema.field(0).type), pa.array(toxic, pa.int32()), pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64())), pa.array(runs, pa.binary())], names=["_key", "_toxic", "names", "counts", "marks", "runs"])
+                found = [words_of(t) for t in part.column(1).to_pylist()]
+                runs = [runs_of(t).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32())), pa.array(runs, pa.binary())], names=["_key", "_toxic", "words", "counts", "runs"])
+        tidy()
 
     kind = rows.schema["_key"].dataType.simpleString()
-    vectors = stored(examples.select("_key", "_text", "_toxic").mapInArrow(features, f"_key {kind}, _toxic int, names array<string>, counts array<bigint>, marks array<bigint>, runs binary"), "examples")
-    single = without_copies([tuple(r) for r in vectors.select("_key", "_toxic", "marks", "runs").collect()])
-    chosen = {k: y for k, y in chosen.items() if k in single}
-    vectors = vectors.join(F.broadcast(spark.createDataFrame([(k,) for k in chosen], rows.select("_key").schema)), "_key")
+    looked = stored(examples.select("_key", "_text", "_toxic").mapInArrow(look, f"_key {kind}, _toxic int, words array<string>, counts array<int>, runs binary"), "examples")
+    single = without_copies([(r["_key"], r["_toxic"], np.frombuffer(r["runs"], np.uint32)) for r in looked.select("_key", "_toxic", "runs").collect()])
+    chosen = {r["_key"]: r["_toxic"] for r in picked if r["_key"] in single}
     one, zero = max(1, sum(chosen.values())), max(1, len(chosen) - sum(chosen.values()))
-    classes = vectors.select("_toxic", F.explode("names").alias("name")).groupBy("name").agg(F.sum("_toxic").cast("double").alias("t"), (F.count(F.lit(1)) - F.sum("_toxic")).cast("double").alias("c"))
-
-    def part(n, share):  # a term of the log-likelihood ratio of the feature's rate in the classes
-        return F.when(n > 0, n * F.log(n / share)).otherwise(0.0)
-
-    n = F.col("t") + F.col("c")
-    gain = part(F.col("t"), n * one / (one + zero)) + part(F.col("c"), n * zero / (one + zero)) + part(one - F.col("t"), (one + zero - n) * one / (one + zero)) + part(zero - F.col("c"), (one + zero - n) * zero / (one + zero))
-    best = classes.where(n >= LEAST_EXAMPLES).select("name", F.round(gain, 6).alias("gain")).orderBy(F.desc("gain"), "name").limit(FEATURES).collect() if len(set(chosen.values())) == 2 else []
-    vocabulary = {r["name"]: i for i, r in enumerate(best)}
+    vocabulary: dict[str, int] = {}
+    held: dict = {}
+    for r in looked.select("_key", "words", "counts").toLocalIterator():  # the words of 2 * EXAMPLES texts, a file's at a time
+        if r["_key"] in single:
+            held[r["_key"]] = {vocabulary.setdefault(w, len(vocabulary)): n for w, n in zip(r["words"], r["counts"], strict=True)}
+    order = sorted(vocabulary)  # the same numbers whatever the order of files
+    number = np.zeros(len(order), np.int64)
+    number[[vocabulary[w] for w in order]] = np.arange(len(order))
+    vocabulary = {w: i for i, w in enumerate(order)}
+    held = {k: {int(number[w]): n for w, n in held[k].items()} for k in sorted(held, key=lambda k: (str(k), k))}
     total, frequency = document_frequencies(rows, "_text", vocabulary)
-    idf = np.log((1 + total) / (1 + frequency)) + 1
-    names = spark.createDataFrame([(x,) for x in vocabulary], "name string")  # FEATURES rows at most
-    pairs = vectors.select("_key", F.explode(F.arrays_zip(F.col("names").alias("name"), F.col("counts").alias("n"))).alias("p")).select("_key", "p.name", "p.n")
-    held: dict = {k: {} for k in sorted(chosen, key=lambda k: (str(k), k))}
-    for r in pairs.join(F.broadcast(names), "name").collect():  # no more than 2 * EXAMPLES * FEATURES, and far fewer
-        held[r["_key"]][vocabulary[r["name"]]] = r["n"]
-    index = Index.of(vocabulary, idf, list(held.values()), [chosen[k] for k in held], list(held))
-    by_key = dict(zip(index.keys, range(len(index.keys)), strict=True))
-    shares = [vote(index, *index.nearest(*unit(v, idf), NEIGHBOURS, by_key[k])) for k, v in held.items()]
-    slope, offset, alone = calibrated(shares, [chosen[k] for k in held], (totals.get(0, 0) / zero, totals.get(1, 0) / one))
+    places = np.array([w for v in held.values() for w in v], np.int64)
+    classes = np.repeat(np.array([chosen[k] for k in held], np.int64), [len(v) for v in held.values()])
+    both = len(set(chosen.values())) == 2
+    scale = class_information(places, classes, len(order), one, zero) if both else np.zeros(len(order))
+    index = Index.of(vocabulary, (np.log((1 + total) / (1 + frequency)) + 1) * scale, list(held.values()), [chosen[k] for k in held], list(held))
+    shares = left_out(spark, index, [held[k] for k in index.keys])
+    slope, offset, alone = calibrated(shares, index.toxic.tolist(), (totals.get(0, 0) / zero, totals.get(1, 0) / one))
     return Model(index, slope, offset, alone)
 
 
+def left_out(spark: SparkSession, index: Index, vectors: list[dict[int, int]]) -> list[float | None]:
+    """The vote on each example of the others, which are as many as the sample's bound; in tasks, not on the driver."""
+    sent = spark.sparkContext.broadcast((index, vectors))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, vectors = sent.value
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            votes = [vote(index, *index.nearest(*unit(vectors[i], index.idf), NEIGHBOURS, i)) for i in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], names=["at", "share"])
+        tidy()
+
+    out: list[float | None] = [None] * len(vectors)
+    for r in spark.range(len(vectors)).toDF("at").mapInArrow(run, "at bigint, share double").collect():
+        out[r.at] = r.share
+    sent.destroy()
+    return out
+
+
 def document_frequencies(rows: DataFrame, text: str, vocabulary: dict[str, int]) -> tuple[int, np.ndarray]:
-    """The number of rows, and of those that hold each feature, over the whole frame; summed in each task first."""
+    """The number of rows, and of those that hold each word, over the whole frame; summed in each task first."""
     sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
     size = len(vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen, n = Known(sent.value), np.zeros(size + 1, np.int64), 0
+        own, seen, n = sent.value, np.zeros(size + 1, np.int64), 0
         for batch in batches:
             for part in sliced(batch):
                 for t in part.column(0).to_pylist():
-                    seen[list(own.counted(words_of(t)))] += 1
+                    seen[[own[w] for w in own.keys() & words_of(t).keys()]] += 1
                     n += 1
         seen[size] = n
         held = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(seen[held])], names=["feature", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(seen[held])], names=["word", "n"])
+        tidy()
 
     out = np.zeros(size + 1, np.int64)
-    for r in rows.select(text).mapInArrow(run, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect():
-        out[r.feature] = r.n
+    sums = rows.select(text).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    out[sums.column("word").to_numpy()] = sums.column("n").to_numpy()
+    sent.destroy()
     return int(out[size]), out[:size]
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", evidence: int = 3, names: tuple[str, str] = ("score", "evidence")) -> DataFrame:
-    """The columns ``keep`` and, by the given names, the score and the evidence: the ids of the nearest examples, their cosines and labels.
+    """The columns ``keep`` and, by the given names, the score and the evidence: the ids of the nearest examples, their
+    cosines and labels. With ``evidence`` 0 there is no such column.
 
-    A null or empty text, or one that shares no feature with any example, has no neighbours and the rate of such
-    examples. Nothing but the text is looked at; equal texts have equal scores.
+    A null or empty text, or one that shares no word that tells of the class with any example, has no neighbours and the
+    rate of such examples. Nothing but the text is looked at; equal texts have equal scores.
     """
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     now = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("_text"))
     at = keep.index(text) if text in keep else len(keep)
+    made = [*keep, names[0], *[names[1]] * (evidence > 0)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         index = model.index
-        own = Known(index.vocabulary)
         for batch in batches:
             for part in sliced(batch):
                 scores, proof = [], []
                 for t in part.column(at).to_pylist():
-                    found, cosines = index.nearest(*unit(own.counted(words_of(t)), index.idf), NEIGHBOURS)
+                    found, cosines = index.nearest(*unit(counted(words_of(t), index.vocabulary), index.idf), NEIGHBOURS)
                     scores.append(model.score(vote(index, found, cosines)))
-                    proof.append([{"example": str(index.keys[i]), "cosine": c, "toxic": int(index.toxic[i])} for i, c in zip(found[:evidence].tolist(), cosines[:evidence].tolist(), strict=True)])
+                    if evidence:
+                        proof.append([{"example": str(index.keys[i]), "cosine": c, "toxic": int(index.toxic[i])} for i, c in zip(found[:evidence].tolist(), cosines[:evidence].tolist(), strict=True)])
                 kind = pa.list_(pa.struct([("example", pa.string()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array(proof, kind)], names=[*keep, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(scores, pa.float64()), *[pa.array(proof, kind)] * (evidence > 0)], names=made)
+        tidy()
 
-    schema = "".join(f"`{c}` {now.schema[c].dataType.simpleString()}, " for c in keep) + f"`{names[0]}` double, `{names[1]}` array<struct<example:string,cosine:double,toxic:int>>"
+    schema = "".join(f"`{c}` {now.schema[c].dataType.simpleString()}, " for c in keep) + f"`{names[0]}` double" + f", `{names[1]}` array<struct<example:string,cosine:double,toxic:int>>" * (evidence > 0)
     return now.mapInArrow(run, schema)
