@@ -93,6 +93,7 @@ def map_rows(frame: DataFrame, schema: str | T.StructType, fn: Callable[[dict[st
                 made = fn({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 if made is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(made[n], arrow.field(n).type) for n in names], schema=arrow)
+        tidy()
 
     return frame.mapInArrow(run, schema)
 

@@ -15,22 +15,18 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import bounded_batches, fresh_path, map_rows, sliced, stored
-
-if TYPE_CHECKING:  # the workers that only hash lines do without it
-    import pandas as pd
+from lumenspark.llm.common import bounded_batches, fresh_path, map_rows, sliced, stored, tidy
 
 #: Fixed value: white space that a key loses at both ends.
 BLANK = b" \t\n\x0b\x0c\r"
-#: Keys of a shard, about; entries of a task's counter before it is passed on; bytes of filters in one broadcast.
+#: Keys of a shard, about; entries of a task's counter before it is passed on; bytes that may be broadcast.
 SHARD_KEYS = 1 << 17
 COUNTER = 1 << 18
 BROADCAST = 64 << 20
@@ -133,6 +129,7 @@ def reference_counts(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
                         yield flush()
         if seen:
             yield flush()
+        tidy()
 
     each = docs.select(F.col(text).cast("binary").alias("_data")).mapInArrow(run, "high bigint, low bigint, refs bigint")
     return each.groupBy("high", "low").agg(F.sum("refs").alias("refs"))
@@ -150,19 +147,22 @@ def without_copies(docs: DataFrame, text: str, key: str) -> DataFrame:
     return joined.where(F.col("_least").isNull() | F.col(key).eqNullSafe(F.col("_least"))).select(*[docs[c] for c in docs.columns])
 
 
+_FILTERS = "shard int, buckets bigint, cells binary, exceptions binary"
+_HITS = "_d0 bigint, _d1 bigint, at int"
+
+
 def _refreshed(min_docs: int):
     """Brings one shard's filter in line with its counts; was and refs are counts before and after."""
+    schema = pa.schema([("shard", pa.int32()), ("buckets", pa.int64()), ("cells", pa.binary()), ("exceptions", pa.binary())])
 
-    def run(counts: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-        import pandas as pd
-
-        if not len(counts):
-            return filters.iloc[:0]
-        low = counts["low"].to_numpy(np.int64)
-        shared, was = counts["refs"].to_numpy() >= min_docs, counts["was"].to_numpy() >= min_docs
+    def run(counts: pa.Table, filters: pa.Table) -> pa.Table:
+        if not counts.num_rows:
+            return schema.empty_table()
+        high, low, refs, before = (counts[c].to_numpy() for c in ("high", "low", "refs", "was"))
+        shared, was = refs >= min_docs, before >= min_docs
         table = None
-        if len(filters):
-            table = CuckooFilter(int(filters["buckets"].iloc[0]), filters["cells"].iloc[0])
+        if filters.num_rows:
+            table = CuckooFilter(filters["buckets"][0].as_py(), filters["cells"][0].as_py())
             table.delete(low[was & ~shared])
             if not table.insert(low[shared & ~was]):
                 table = None
@@ -171,12 +171,67 @@ def _refreshed(min_docs: int):
             while not table.insert(low[shared]):
                 table = CuckooFilter(table.buckets * 2)
         wrong = table.holds(low) & ~shared
-        exceptions = np.stack([counts["high"].to_numpy(np.int64)[wrong], low[wrong]], axis=1).astype("<i8").tobytes()
-        return pd.DataFrame({"shard": [int(counts["shard"].iloc[0])], "buckets": [table.buckets], "cells": [table.table.tobytes()], "exceptions": [exceptions]})
+        exceptions = np.stack([high[wrong], low[wrong]], axis=1).astype("<i8").tobytes()
+        made = [[counts["shard"][0].as_py()], [table.buckets], [table.table.tobytes()], [exceptions]]
+        tidy()
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(made, schema, strict=True)], schema=schema)
 
     return run
 
 
+def _probed(probes: pa.Table, filters: pa.Table) -> pa.Table:
+    """The places of one shard's probes that its filter drops."""
+    out = pa.schema([("_d0", pa.int64()), ("_d1", pa.int64()), ("at", pa.int32())])
+    if not (probes.num_rows and filters.num_rows):
+        return out.empty_table()
+    high, low = probes["high"].to_numpy(), probes["low"].to_numpy()
+    own = _Exact.of(filters["buckets"][0].as_py(), filters["cells"][0].as_py(), filters["exceptions"][0].as_py())
+    return probes.select(["_d0", "_d1", "at"]).filter(pa.array(own.holds(high, low)))
+
+
+@dataclass(frozen=True)
+class _Exact:
+    """A filter and its exceptions: right for every key of its shard."""
+
+    table: CuckooFilter
+    exceptions: frozenset[bytes]
+
+    @classmethod
+    def of(cls, buckets: int, cells: bytes, wrong: bytes) -> _Exact:
+        return cls(CuckooFilter(buckets, cells), frozenset(wrong[i : i + 16] for i in range(0, len(wrong), 16)))
+
+    def holds(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        found = self.table.holds(low)
+        if self.exceptions and found.any():
+            at = np.flatnonzero(found)
+            digests = np.stack([high[at], low[at]], axis=1).astype("<i8").tobytes()
+            found[at] = [digests[i : i + 16] not in self.exceptions for i in range(0, len(digests), 16)]
+        return found
+
+
+def _places(texts: list[bytes | None], min_chars: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lines of each text, and of each key the text, the line, and the halves of its digest."""
+    split = [(x or b"").split(b"\n") for x in texts]
+    keys, owner, place = [], [], []
+    for i, lines in enumerate(split):
+        for j, line in enumerate(lines):
+            if key := line_key(line, min_chars):
+                keys.append(key)
+                owner.append(i)
+                place.append(j)
+    return split, np.array(owner, np.int64), np.array(place, np.int64), *_halves(keys)
+
+
+def _rest(split: list[list[bytes]], gone: list[set[int]], names: tuple[str, str, str]) -> dict[str, list]:
+    kept = [b"\n".join(y for j, y in enumerate(x) if j not in g) if g else b"\n".join(x) for x, g in zip(split, gone, strict=True)]
+    return dict(zip(names, ([x.decode() for x in kept], [len(x) for x in split], [len(g) for g in gone]), strict=True))
+
+
+def _key_of(text: str) -> dict[str, Column]:
+    content = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    return {"_d0": F.xxhash64(content), "_d1": F.xxhash64(F.lit(1), content)}
+
+
 @dataclass(frozen=True)
 class LineIndex:
     """One generation of the index: tables in the shared folder. ``insert`` and ``delete`` return the next one."""
@@ -196,7 +251,7 @@ class LineIndex:
         return self.spark.read.schema("high bigint, low bigint, refs bigint, was bigint, shard int").parquet(f"{self.path}/counts").where("refs > 0").drop("was")
 
     def filters(self) -> DataFrame:
-        return self.spark.read.schema("shard int, buckets bigint, cells binary, exceptions binary").parquet(f"{self.path}/filters")
+        return self.spark.read.schema(_FILTERS).parquet(f"{self.path}/filters")
 
     def insert(self, docs: DataFrame, text: str = "text") -> LineIndex:
         return self._changed(reference_counts(docs, text, self.min_chars))
@@ -217,84 +272,93 @@ class LineIndex:
         shards = max(self.shards, 16, -(-whole.count() // SHARD_KEYS))
         whole.withColumn("shard", F.pmod("high", F.lit(shards)).cast("int")).write.parquet(f"{path}/counts")
         sharded = self.spark.read.schema("high bigint, low bigint, refs bigint, was bigint, shard int").parquet(f"{path}/counts")
-        schema = "shard int, buckets bigint, cells binary, exceptions binary"
-        old = self.filters() if self.path and shards == self.shards else self.spark.createDataFrame([], schema)
-        sharded.groupBy("shard").cogroup(old.groupBy("shard")).applyInPandas(_refreshed(self.min_docs), schema).write.parquet(f"{path}/filters")
+        old = self.filters() if self.path and shards == self.shards else self.spark.createDataFrame([], _FILTERS)
+        sharded.groupBy("shard").cogroup(old.groupBy("shard")).applyInArrow(_refreshed(self.min_docs), _FILTERS).write.parquet(f"{path}/filters")
         return LineIndex(self.spark, path, shards, self.min_docs, self.min_chars)
 
     def rewrite(self, docs: DataFrame, text: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("kept", "n_lines", "n_dropped")) -> DataFrame:
         """The columns ``keep`` and, by the given names, the text without shared lines, its lines, and those dropped.
 
         Exact for the lines of indexed documents. Null or empty texts are one empty line and keep it; an empty key
-        is never dropped; a text that loses all its lines is left empty. Filters beyond BROADCAST bytes are applied
-        in several passes, each by a broadcast below that size, with a written table between.
+        is never dropped; a text that loses all its lines is left empty; repeated rows stay. While all filters together
+        have BROADCAST bytes or less they are broadcast and texts are rewritten where they are read. Beyond it, the
+        most common keys alone are broadcast, as many as BROADCAST bytes hold; the others' digests go to their shard's
+        filter, none of them common any more, and the places that it drops are joined back: texts move once.
         """
         keep = keep or []
-        sizes = self.filters().select("shard", (F.length("cells") + F.length("exceptions")).alias("size")).orderBy("shard").collect()
-        parts: list[list[int]] = [[]]
-        held = 0
-        for row in sizes:
-            if parts[-1] and held + row["size"] > BROADCAST:
-                parts.append([])
-                held = 0
-            parts[-1].append(row["shard"])
-            held += row["size"]
-        now = docs.select(*keep, F.col(text).cast("binary").alias("_data"), F.lit(b"").alias("_gone"))
-        for i, part in enumerate(parts):
-            own = self.filters().where(F.col("shard").between(part[0], part[-1])).collect() if part else []
-            now = self._marked(now, keep, {r.shard: (r.buckets, bytes(r.cells), bytes(r.exceptions)) for r in own})
-            if i < len(parts) - 1:
-                path = fresh_path(self.spark, "marked")
-                now.write.parquet(path)
-                now = self.spark.read.schema(now.schema).parquet(path)
-
-        def finish(rows: dict[str, list]) -> dict[str, list]:
-            data, gone = rows.pop("_data"), rows.pop("_gone")
-            lines = [(x or b"").split(b"\n") for x in data]
-            gone = [np.unpackbits(np.frombuffer(g, np.uint8), count=len(x)) if g else np.zeros(len(x), np.uint8) for g, x in zip(gone, lines, strict=True)]
-            kept = [b"\n".join(y for y, g in zip(x, n.tolist(), strict=True) if not g).decode() if n.any() else b"\n".join(x).decode() for x, n in zip(lines, gone, strict=True)]
-            return rows | dict(zip(names, (kept, [len(x) for x in lines], [int(n.sum()) for n in gone]), strict=True))
-
-        schema = "".join(f"`{c}` {now.schema[c].dataType.simpleString()}, " for c in keep) + f"`{names[0]}` string, `{names[1]}` bigint, `{names[2]}` bigint"
-        return map_rows(now, schema, finish)
-
-    def _marked(self, docs: DataFrame, keep: list[str], filters: dict[int, tuple[int, bytes, bytes]]) -> DataFrame:
-        """Adds to ``_gone``, a bit for each line, what the filters of some shards drop."""
+        sizes = self.filters().agg(F.sum(F.length("cells") + F.length("exceptions")).alias("all")).first()["all"] or 0
+        if sizes <= BROADCAST:
+            return self._where_read(docs, text, keep, names)
+        return self._joined(docs, text, keep, names)
+
+    def _where_read(self, docs: DataFrame, text: str, keep: list[str], names: tuple[str, str, str]) -> DataFrame:
+        filters = {r.shard: (r.buckets, bytes(r.cells), bytes(r.exceptions)) for r in self.filters().collect()}
         sent = self.spark.sparkContext.broadcast(filters)
         shards, min_chars = self.shards, self.min_chars
-        made: dict[int, tuple[CuckooFilter, set[bytes]]] = {}
+        made: dict[int, _Exact] = {}
 
         def run(rows: dict[str, list]) -> dict[str, list]:
             if not made:
-                for s, (buckets, cells, wrong) in sent.value.items():
-                    made[s] = CuckooFilter(buckets, cells), {wrong[i : i + 16] for i in range(0, len(wrong), 16)}
-            keys, owner, place = [], [], []
-            lines = [(x or b"").count(b"\n") + 1 for x in rows["_data"]]
-            for i, data in enumerate(rows["_data"]):
-                for j, line in enumerate((data or b"").split(b"\n")):
-                    if key := line_key(line, min_chars):
-                        keys.append(key)
-                        owner.append(i)
-                        place.append(j)
-            gone: dict[int, list[int]] = {}
-            if keys:
-                high, low = _halves(keys)
-                shard = np.mod(high, shards)
-                order = np.argsort(shard, kind="stable")
-                bounds = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0, [True]]))
-                for a, b in zip(bounds, bounds[1:], strict=False):
-                    if found := made.get(int(shard[order[a]])):
-                        for at in order[a:b][found[0].holds(low[order[a:b]])].tolist():
-                            if keys[at] not in found[1]:
-                                gone.setdefault(owner[at], []).append(place[at])
-            bits = []
-            for i, (old, n) in enumerate(zip(rows["_gone"], lines, strict=True)):
-                if i in gone:
-                    marks = np.unpackbits(np.frombuffer(old, np.uint8), count=n) if old else np.zeros(n, np.uint8)
-                    marks[gone[i]] = 1
-                    old = np.packbits(marks).tobytes()
-                bits.append(old)
-            return rows | {"_gone": bits}
-
-        schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + "_data binary, _gone binary"
-        return map_rows(docs, schema, run)
+                made.update({s: _Exact.of(*x) for s, x in sent.value.items()})
+            split, owner, place, high, low = _places(rows.pop("_data"), min_chars)
+            gone: list[set[int]] = [set() for _ in split]
+            shard = np.mod(high, shards)
+            order = np.argsort(shard, kind="stable")
+            bounds = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0, [True]])) if len(order) else []
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                if found := made.get(int(shard[order[a]])):
+                    at = order[a:b]
+                    for k in at[found.holds(high[at], low[at])].tolist():
+                        gone[owner[k]].add(int(place[k]))
+            return rows | _rest(split, gone, names)
+
+        now = docs.select(*keep, F.col(text).cast("binary").alias("_data"))
+        return map_rows(now, _kept_schema(now, keep, names), run)
+
+    def _common(self) -> np.ndarray:
+        """The digests of the keys with most references, sorted, in BROADCAST bytes at most."""
+        least = max(self.min_docs, 64)
+        while True:
+            common = self.counts().where(F.col("refs") >= least).select("high", "low")
+            if common.count() * 16 <= BROADCAST:
+                break
+            least *= 4
+        found = np.array([(r.high, r.low) for r in common.collect()], np.int64).reshape(-1, 2)
+        return found[np.lexsort((found[:, 1], found[:, 0]))]
+
+    def _joined(self, docs: DataFrame, text: str, keep: list[str], names: tuple[str, str, str]) -> DataFrame:
+        bounded_batches(self.spark)
+        sent = self.spark.sparkContext.broadcast(self._common())
+        shards, min_chars = self.shards, self.min_chars
+
+        def is_common(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+            known = sent.value
+            pairs = np.dtype([("high", np.int64), ("low", np.int64)])
+            sorted_, asked = np.ascontiguousarray(known).view(pairs).ravel(), np.ascontiguousarray(np.stack([high, low], axis=1)).view(pairs).ravel()
+            at = np.searchsorted(sorted_, asked)
+            return (at < len(sorted_)) & (sorted_[np.minimum(at, len(sorted_) - 1)] == asked) if len(sorted_) else np.zeros(len(asked), bool)
+
+        def probe(rows: dict[str, list]) -> dict[str, list]:
+            _, owner, place, high, low = _places(rows["_data"], min_chars)
+            some = np.flatnonzero(~is_common(high, low))
+            own = owner[some].tolist()
+            return {"_d0": [rows["_d0"][i] for i in own], "_d1": [rows["_d1"][i] for i in own], "at": place[some].tolist(), "high": high[some].tolist(), "low": low[some].tolist(), "shard": np.mod(high[some], shards).tolist()}
+
+        rows = docs.select(*keep, F.col(text).cast("binary").alias("_data")).withColumns(_key_of("_data"))
+        probes = map_rows(rows.select("_d0", "_d1", "_data"), f"{_HITS}, high bigint, low bigint, shard int", probe)
+        hits = probes.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInArrow(_probed, _HITS)
+        places = hits.distinct().groupBy("_d0", "_d1").agg(F.collect_list("at").alias("_at"))
+
+        def run(rows: dict[str, list]) -> dict[str, list]:
+            split, owner, place, high, low = _places(rows.pop("_data"), min_chars)
+            gone = [set(x or ()) for x in rows.pop("_at")]
+            for k in np.flatnonzero(is_common(high, low)).tolist():
+                gone[owner[k]].add(int(place[k]))
+            return rows | _rest(split, gone, names)
+
+        now = rows.join(stored(places, "places"), ["_d0", "_d1"], "left").select(*[rows[c] for c in keep], "_data", "_at")
+        return map_rows(now, _kept_schema(now, keep, names), run)
+
+
+def _kept_schema(rows: DataFrame, keep: list[str], names: tuple[str, str, str]) -> str:
+    return "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep) + f"`{names[0]}` string, `{names[1]}` bigint, `{names[2]}` bigint"
