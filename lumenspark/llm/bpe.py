@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import bounded_batches, sliced
+from lumenspark.llm.common import bounded_batches, sliced, tidy
 
 #: The code points with the Unicode property White_Space.
 WHITE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -33,7 +34,7 @@ START, IN_L, IN_N, IN_P, IN_WS, JOIN, TWO, ONE = range(8)
 STATES = 8
 BLOCK = 256
 #: Pieces that a worker remembers before it forgets them all; bytes up to which pieces are merged side by side.
-CACHE = 1 << 18
+CACHE = 1 << 17
 SHORT = 64
 #: Bytes of texts or ids worked on at a time; what is made of them takes some forty times as many.
 BYTES = 1 << 20
@@ -98,7 +99,7 @@ def refined(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def starts(kinds: np.ndarray) -> np.ndarray:
+def token_starts(kinds: np.ndarray) -> np.ndarray:
     """Whether a token starts at each place, by an associative scan of transition functions."""
     n = len(kinds)
     rows = -(-n // BLOCK)
@@ -130,7 +131,7 @@ def slices(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
     points = np.frombuffer(line.encode("utf-32-le"), np.uint32)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.cumsum(lengths) - lengths
-    begins = starts(refined(points, np.unique(begin[lengths > 0])))
+    begins = token_starts(refined(points, np.unique(begin[lengths > 0])))
     places = np.flatnonzero(begins)
     width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
     byte = np.concatenate([[0], np.cumsum(width)])
@@ -303,58 +304,71 @@ def encode_batch(texts: list[str], encoder: Encoder) -> tuple[np.ndarray, np.nda
     return ids.astype(np.int32), start - np.repeat(byte[upto[:-1]], np.diff(bounds)), bounds
 
 
-def encode(docs: DataFrame, ranks_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def decode_batch(column: pa.ListArray, tokens: list[bytes]) -> pa.Array:
+    """The bytes of each row's ids."""
+    bounds = np.asarray(column.offsets)
+    found = list(map(tokens.__getitem__, np.asarray(column.values.slice(bounds[0], bounds[-1] - bounds[0])).tolist()))
+    edges = (bounds - bounds[0]).tolist()
+    return pa.array([b"".join(found[i:j]) for i, j in zip(edges, edges[1:], strict=False)], pa.binary())
+
+
+def by_rank(ranks: dict[bytes, int]) -> list[bytes]:
+    ordered = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        ordered[rank] = token
+    return ordered
+
+
+def sent_ranks(spark: SparkSession, path: str) -> Broadcast:
+    """The ranks, of a fixed vocabulary of under a megabyte, are read on the driver and broadcast."""
+    ranks = read_ranks(path)
+    if sum(map(len, ranks)) > 64 << 20:
+        raise ValueError("this vocabulary is too large to broadcast")
+    return spark.sparkContext.broadcast(ranks)
+
+
+def encode(docs: DataFrame, ranks_path: str, text: str = "text", keep: list[str] | None = None, starts: bool = True, decoded: bool = False) -> DataFrame:
     """The columns ``keep``, ``ids`` array<int> and ``starts`` array<int>, the byte where each id's text starts.
 
-    A null text is encoded as an empty one: no ids. Texts of any length are encoded whole. The ranks, of a fixed
-    vocabulary of under a megabyte, are read on the driver and broadcast.
+    With ``decoded`` also the bytes that the ids give when they are decoded, in the same pass. A null text is encoded as
+    an empty one: no ids. Texts of any length are encoded whole; repeated rows stay, no rows give none.
     """
     keep = keep or []
     bounded_batches(docs.sparkSession)
-    ranks = read_ranks(ranks_path)
-    if sum(map(len, ranks)) > 64 << 20:
-        raise ValueError("this vocabulary is too large to broadcast")
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    sent = sent_ranks(docs.sparkSession, ranks_path)
     now = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    made: list[Encoder] = []
+    names = [*keep, "ids", *["starts"] * starts, *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Encoder(sent.value))
+        encoder = Encoder(sent.value)
+        tokens = by_rank(sent.value) if decoded else []
         for batch in batches:
             for part in sliced(batch, BYTES):
-                ids, start, bounds = encode_batch(part.column(len(keep)).to_pylist(), made[0])
+                ids, start, bounds = encode_batch(part.column(len(keep)).to_pylist(), encoder)
                 offsets = pa.array(bounds.astype(np.int32))
-                columns = [*part.columns[: len(keep)], pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(start.astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", "starts"])
+                lists = pa.ListArray.from_arrays(offsets, pa.array(ids))
+                more = [pa.ListArray.from_arrays(offsets, pa.array(start.astype(np.int32)))] if starts else []
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists, *more, *([decode_batch(lists, tokens)] if decoded else [])], names=names)
+        del encoder, tokens
+        tidy()
 
-    schema = "".join(f"`{c}` {now.schema[c].dataType.simpleString()}, " for c in keep) + "ids array<int>, starts array<int>"
+    schema = "".join(f"`{c}` {now.schema[c].dataType.simpleString()}, " for c in keep) + "ids array<int>" + ", starts array<int>" * starts + ", decoded binary" * decoded
     return now.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` and ``decoded`` binary, the bytes of the ids; null ids give no bytes."""
+    """The columns ``keep`` and ``decoded`` binary, the bytes of the ids; null or empty ids give no bytes."""
     keep = keep or []
     bounded_batches(encoded.sparkSession)
-    spark: SparkSession = encoded.sparkSession
-    ranks = read_ranks(ranks_path)
-    ordered = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        ordered[rank] = token
-    sent = spark.sparkContext.broadcast(ordered)
-    now = encoded.select(*keep, F.col(ids).alias("_ids"))
+    sent = sent_ranks(encoded.sparkSession, ranks_path)
+    now = encoded.select(*keep, F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = sent.value
+        tokens = by_rank(sent.value)
         for batch in batches:
             for part in sliced(batch, BYTES):
-                column = part.column(len(keep))
-                bounds = np.asarray(column.offsets)
-                flat = np.asarray(column.values.slice(bounds[0], bounds[-1] - bounds[0])).tolist()
-                found = list(map(tokens.__getitem__, flat))
-                edges = (bounds - bounds[0]).tolist()
-                data = [b"".join(found[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(data, pa.binary())], names=[*keep, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], decode_batch(part.column(len(keep)), tokens)], names=[*keep, "decoded"])
+        tidy()
 
     schema = "".join(f"`{c}` {now.schema[c].dataType.simpleString()}, " for c in keep) + "decoded binary"
     return now.mapInArrow(run, schema)

@@ -25,12 +25,9 @@ def tokenizer_path() -> str:
 
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    made = bpe.encode(docs, tokenizer_path(), keep=["doc_id"])
-    made = made.select(
-        F.struct("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256")).alias("own"),
-        "ids",
-    )
-    return bpe.decode(made, tokenizer_path(), keep=["own"]).select("own.*", F.sha2("decoded", 256).alias("decoded_sha256"))
+    made = bpe.encode(docs, tokenizer_path(), keep=["doc_id"], starts=False, decoded=True)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return made.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {"op4_line_dedup": op4_line_dedup, "op10_bpe": op10_bpe}
