@@ -62,20 +62,30 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-#: Names of a row's identity.
-ROW = ["_d0", "_d1"]
+def unused(frame: DataFrame, name: str) -> str:
+    """A name like the given one that the frame has no column of, whatever the case."""
+    taken = {c.lower() for c in frame.columns}
+    while f"_{name}" in taken:
+        name = f"_{name}"
+    return f"_{name}"
+
+
+#: Names of a row's identity; no table is expected to have them, and one that does is refused.
+ROW = ["__row_hash_0", "__row_hash_1"]
 
 
 def identified(docs: DataFrame) -> DataFrame:
     """Adds 128 bits of hashes of the whole row, by which decisions on slim rows find their texts again."""
-    columns = [docs[c] for c in docs.columns]
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    if {c.lower() for c in docs.columns} & set(ROW):
+        raise ValueError(f"columns {ROW} are the row's identity")
     return docs.withColumns({ROW[0]: F.xxhash64(*columns), ROW[1]: F.xxhash64(F.lit(1), *columns)})
 
 
 def once(rows: DataFrame) -> DataFrame:
     """One of each set of identical rows; a join on the identity before or after needs no other exchange."""
-    numbered = rows.withColumn("_copy", F.row_number().over(Window.partitionBy(*ROW).orderBy(F.lit(1))))
-    return numbered.where("_copy = 1").drop("_copy")
+    copy = unused(rows, "copy")
+    return rows.withColumn(copy, F.row_number().over(Window.partitionBy(*ROW).orderBy(F.lit(1)))).where(F.col(copy) == 1).drop(copy)
 
 
 def map_rows(frame: DataFrame, schema: str | T.StructType, fn: Callable[[dict[str, list]], dict[str, list] | None]) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import bounded_batches, fresh_path, map_rows, sliced, stored, tidy
+from lumenspark.llm.common import bounded_batches, fresh_path, map_rows, sliced, stored, tidy, unused
 
 #: Fixed value: white space that a key loses at both ends.
 BLANK = b" \t\n\x0b\x0c\r"
@@ -140,11 +140,16 @@ def without_copies(docs: DataFrame, text: str, key: str) -> DataFrame:
 
     Only the digests of texts that occur twice are joined back, and a copy's rows are told apart by key before.
     """
-    content = F.coalesce(F.col(text), F.lit(""))
-    marked = docs.withColumns({"_d0": F.xxhash64(content), "_d1": F.xxhash64(F.lit(1), content)})
-    copied = stored(marked.groupBy("_d0", "_d1").agg(F.min(key).alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_d0", "_d1", "_least"), "copied")
-    joined = marked.join(copied, ["_d0", "_d1"], "left")
-    return joined.where(F.col("_least").isNull() | F.col(key).eqNullSafe(F.col("_least"))).select(*[docs[c] for c in docs.columns])
+    first, second, least = (unused(docs, x) for x in ("first", "second", "least"))
+    marked = docs.withColumns(dict(zip((first, second), _digests(F.col(text).cast("binary")), strict=True)))
+    copied = stored(marked.groupBy(first, second).agg(F.min(key).alias(least), F.count(F.lit(1)).alias("n")).where("n > 1").select(first, second, least), "copied")
+    joined = marked.join(copied, [first, second], "left")
+    return joined.where(F.col(least).isNull() | F.col(key).eqNullSafe(F.col(least))).select(*[f"`{c}`" for c in docs.columns])
+
+
+def _digests(data: Column) -> tuple[Column, Column]:
+    content = F.coalesce(data, F.lit(b""))
+    return F.xxhash64(content), F.xxhash64(F.lit(1), content)
 
 
 _FILTERS = "shard int, buckets bigint, cells binary, exceptions binary"
@@ -227,11 +232,6 @@ def _rest(split: list[list[bytes]], gone: list[set[int]], names: tuple[str, str,
     return dict(zip(names, ([x.decode() for x in kept], [len(x) for x in split], [len(g) for g in gone]), strict=True))
 
 
-def _key_of(text: str) -> dict[str, Column]:
-    content = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    return {"_d0": F.xxhash64(content), "_d1": F.xxhash64(F.lit(1), content)}
-
-
 @dataclass(frozen=True)
 class LineIndex:
     """One generation of the index: tables in the shared folder. ``insert`` and ``delete`` return the next one."""
@@ -296,11 +296,12 @@ class LineIndex:
         sent = self.spark.sparkContext.broadcast(filters)
         shards, min_chars = self.shards, self.min_chars
         made: dict[int, _Exact] = {}
+        data = unused(docs, "data")
 
         def run(rows: dict[str, list]) -> dict[str, list]:
             if not made:
                 made.update({s: _Exact.of(*x) for s, x in sent.value.items()})
-            split, owner, place, high, low = _places(rows.pop("_data"), min_chars)
+            split, owner, place, high, low = _places(rows.pop(data), min_chars)
             gone: list[set[int]] = [set() for _ in split]
             shard = np.mod(high, shards)
             order = np.argsort(shard, kind="stable")
@@ -312,7 +313,7 @@ class LineIndex:
                         gone[owner[k]].add(int(place[k]))
             return rows | _rest(split, gone, names)
 
-        now = docs.select(*keep, F.col(text).cast("binary").alias("_data"))
+        now = docs.select(*keep, F.col(text).cast("binary").alias(data))
         return map_rows(now, _kept_schema(now, keep, names), run)
 
     def _common(self) -> np.ndarray:
@@ -344,19 +345,21 @@ class LineIndex:
             own = owner[some].tolist()
             return {"_d0": [rows["_d0"][i] for i in own], "_d1": [rows["_d1"][i] for i in own], "at": place[some].tolist(), "high": high[some].tolist(), "low": low[some].tolist(), "shard": np.mod(high[some], shards).tolist()}
 
-        rows = docs.select(*keep, F.col(text).cast("binary").alias("_data")).withColumns(_key_of("_data"))
-        probes = map_rows(rows.select("_d0", "_d1", "_data"), f"{_HITS}, high bigint, low bigint, shard int", probe)
+        data, at, first, second = (unused(docs, x) for x in ("data", "at", "first", "second"))
+        rows = docs.select(*keep, F.col(text).cast("binary").alias(data))
+        rows = rows.withColumns(dict(zip((first, second), _digests(F.col(data)), strict=True)))
+        probes = map_rows(rows.select(F.col(first).alias("_d0"), F.col(second).alias("_d1"), F.col(data).alias("_data")), f"{_HITS}, high bigint, low bigint, shard int", probe)
         hits = probes.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInArrow(_probed, _HITS)
-        places = hits.distinct().groupBy("_d0", "_d1").agg(F.collect_list("at").alias("_at"))
+        places = hits.distinct().groupBy(F.col("_d0").alias(first), F.col("_d1").alias(second)).agg(F.collect_list("at").alias(at))
 
         def run(rows: dict[str, list]) -> dict[str, list]:
-            split, owner, place, high, low = _places(rows.pop("_data"), min_chars)
-            gone = [set(x or ()) for x in rows.pop("_at")]
+            split, owner, place, high, low = _places(rows.pop(data), min_chars)
+            gone = [set(x or ()) for x in rows.pop(at)]
             for k in np.flatnonzero(is_common(high, low)).tolist():
                 gone[owner[k]].add(int(place[k]))
             return rows | _rest(split, gone, names)
 
-        now = rows.join(stored(places, "places"), ["_d0", "_d1"], "left").select(*[rows[c] for c in keep], "_data", "_at")
+        now = rows.join(stored(places, "places"), [first, second], "left").select(*keep, data, at)
         return map_rows(now, _kept_schema(now, keep, names), run)
 
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import ROW, identified, once, stored
+from lumenspark.llm.common import ROW, identified, once, stored, unused
 
 #: Fixed values of the contract: weights by turns, the most that a source is repeated, and what parts words.
 WEIGHTS = (5, 2, 1)
@@ -173,14 +173,14 @@ class Mix:
         The mix must be of ``identified(docs)`` and keep the identity: texts stay where they are until what is taken of
         them is known, and are then dealt once.
         """
-        ranges = self.parts().groupBy(F.col("sid").alias("s"), F.col("start").alias("at"), "epoch").agg(F.sort_array(F.collect_list(F.struct("from", "upto"))).alias("_ranges"), F.sum(F.col("upto") - F.col("from")).alias("_taken"))
+        parts, whole, tokens = (unused(docs, x) for x in ("parts", "whole", "tokens"))
+        ranges = self.parts().groupBy(F.col("sid").alias("s"), F.col("start").alias("at"), "epoch").agg(F.sort_array(F.collect_list(F.struct("from", "upto"))).alias(parts), F.sum(F.col("upto") - F.col("from")).alias("taken"))
         met = self.placed.join(ranges, (F.col("sid") == F.col("s")) & (F.col("start") == F.col("at")) & (F.col("size") > 0))
-        taken = met.select(*[F.col(f"kept.{c}").alias(c) for c in ROW], "_ranges", (F.col("_taken") == F.col("size")).alias("_whole"))
+        taken = met.select(*[F.col(f"kept.{c}").alias(c) for c in ROW], parts, (F.col("taken") == F.col("size")).alias(whole))
         rows = once(identified(docs)).join(taken, ROW)
-        tokens = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))
-        rows = rows.withColumn("_tokens", F.when(~F.col("_whole"), tokens))
-        some = F.array_join(F.flatten(F.transform("_ranges", lambda r: F.slice(F.col("_tokens"), (r["from"] + 1).cast("int"), (r.upto - r["from"]).cast("int")))), "")
-        return rows.withColumn("_made", F.when(F.col("_whole"), F.col(text)).otherwise(some)).select(*[F.col("_made").alias(c) if c == text else F.col(c) for c in docs.columns])
+        rows = rows.withColumn(tokens, F.when(~F.col(whole), F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))))
+        some = F.array_join(F.flatten(F.transform(parts, lambda r: F.slice(F.col(tokens), (r["from"] + 1).cast("int"), (r.upto - r["from"]).cast("int")))), "")
+        return rows.select(*[F.when(F.col(whole), F.col(text)).otherwise(some).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
     def blocks(self, text: str) -> DataFrame:
         """(shard, sid, epoch, block, text): the output itself, each slot with the text of its block, cut to its words.

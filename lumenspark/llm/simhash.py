@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import ROW, bounded_batches, cut, identified, once, sliced, stored
+from lumenspark.llm.common import ROW, bounded_batches, cut, identified, once, sliced, stored, tidy
 from lumenspark.llm.components import components
 
 #: Fixed values of the contract: XXH64's seed, and the length of the perfect code's words.
@@ -102,6 +102,7 @@ def fingerprints(docs: DataFrame, text: str, keep: list[str], width: int, words:
                 offsets = pa.array(np.arange(0, found.size + 1, words, dtype=np.int32))
                 same = [pa.array(np.array([xxhash.xxh64_intdigest(np.unique(h).tobytes(), SEED) for h in hashes], np.uint64).view(np.int64))] if sets else []
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.ListArray.from_arrays(offsets, pa.array(found.view(np.int64).ravel())), *same], names=[*keep, "fp", *["same"] * sets])
+        tidy()
 
     return kept.mapInArrow(run, schema)
 
@@ -226,6 +227,7 @@ def fingerprint_links(fps: DataFrame, bits: int, blocks: int | None = None) -> D
                 for anchor, row, home in anchors(values, blocks):
                     offsets = pa.array(np.arange(0, row.size * values.shape[1] + 1, values.shape[1], dtype=np.int32))
                     yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(nodes[row]), pa.ListArray.from_arrays(offsets, pa.array(values[row].view(np.int64).ravel())), pa.array(home), *[pa.array(np.asarray(c)[row]) for c in part.columns[2:]]], names=["anchor", "node", "fp", "home", *extra])
+        tidy()
 
     wide = fps.select(F.size("fp")).first()
     wide = wide[0] if wide else 1
@@ -263,6 +265,8 @@ def fingerprint_links(fps: DataFrame, bits: int, blocks: int | None = None) -> D
                 yield of(*[x[:last] for x in now])
         if held is not None and len(held[0]):
             yield of(*held)
+        held = None
+        tidy()
 
     return spread.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a bigint, b bigint")
 
@@ -303,6 +307,7 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Dat
             for part in sliced(batch):
                 sets = [np.unique(shingle_hashes(x, width)).view(np.int64) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+        tidy()
 
     own = texts.join(ends, "node", "left_semi").select("node", F.col("_text").cast("binary").alias("_data"))
     own = stored(own.mapInArrow(run, "node bigint, shingles array<bigint>"), "shingles")

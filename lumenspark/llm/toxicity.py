@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import bounded_batches, sliced, stored, tidy
+from lumenspark.llm.common import bounded_batches, sliced, stored, tidy, unused
 
 #: Labelled examples of each class; neighbours asked; examples of a block; the share of runs that makes a copy.
 EXAMPLES = 2000
@@ -324,7 +324,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", ev
     """
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    now = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("_text"))
+    now = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias(unused(docs, "text")))
     at = keep.index(text) if text in keep else len(keep)
     made = [*keep, names[0], *[names[1]] * (evidence > 0)]
 

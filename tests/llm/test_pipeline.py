@@ -100,7 +100,8 @@ def test_edge_rows(spark, tmp_path):
             docs = stage(spark, docs, str(tmp_path))
         got = docs.collect()
         assert {r.doc_id for r in got} == ({2, None} if part else set()), name
-    more = spark.createDataFrame([(4, "some words here", "en", "a", 1, 0.5, 7, 8)], schema + ", score double, size int, fp int")
+    more = spark.createDataFrame([(4, "some words here", "en", "a", 1, 0.5, 7, 8, "s", "k", 1, 2, 3, "d", "c", "w", "t")], schema + ", score double, size int, fp int, _score string, _kept string, _d0 int, _d1 int, _copy int, _data string, _first string, _whole string, _tokens string")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         more = stage(spark, more, str(tmp_path))
-    assert more.columns[-3:] == ["score", "size", "fp"] and [r.text for r in more.collect()] == ["some words here"]
+    assert more.columns[5:8] == ["score", "size", "fp"] and [r.text for r in more.collect()] == ["some words here"]
+    assert [tuple(r)[5:] for r in more.collect()] == [(0.5, 7, 8, "s", "k", 1, 2, 3, "d", "c", "w", "t")]
