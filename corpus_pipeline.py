@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspark.llm import bpe, simhash, toxicity
-from lumenspark.llm.common import ROW, identified, stored
+from lumenspark.llm.common import ROW, identified, stored, unused
 from lumenspark.llm.lines import LineIndex, without_copies
 from lumenspark.llm.mixing import Mix
 from lumenspark.llm.queries_b import tokenizer_path
@@ -22,15 +22,17 @@ from lumenspark.llm.queries_b import tokenizer_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5 stay, null and empty texts among them. Learns from the labels not held out."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, docs.columns, names=("_score", "_evidence")).where("_score < 0.5").select(*docs.columns)
+    score = unused(docs, "score")
+    return toxicity.score(docs, model, docs.columns, evidence=0, names=(score, "")).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten or more different texts go. Copies of a text count once: they are the next stage's work, and
     would otherwise lose every line. All documents stay; a null text becomes an empty one."""
     index = LineIndex.empty(spark, min_docs=10, min_chars=1).insert(without_copies(docs, "text", "doc_id"))
-    kept = index.rewrite(docs, keep=[c for c in docs.columns if c not in ("text", "n_chars")], names=("_kept", "_lines", "_dropped"))
-    return kept.select(*[{"text": F.col("_kept").alias("text"), "n_chars": _length("_kept", docs)}.get(c, F.col(c)) for c in docs.columns])
+    names = tuple(unused(docs, x) for x in ("kept", "lines", "dropped"))
+    kept = index.rewrite(docs, keep=[c for c in docs.columns if c not in ("text", "n_chars")], names=names)
+    return kept.select(*[{"text": F.col(names[0]).alias("text"), "n_chars": _length(names[0], docs)}.get(c, F.col(f"`{c}`")) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +48,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, ids, n_tokens, and the digests of the ids and of the text that they decode to."""
-    made = bpe.encode(docs, tokenizer_path(), keep=["doc_id", "source", "lang"])
+    made = bpe.encode(docs, tokenizer_path(), keep=["doc_id", "source", "lang"], starts=False, decoded=True)
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
-    made = made.select(F.struct("doc_id", "source", "lang", "ids", F.size("ids").cast("bigint").alias("n_tokens"), digest.alias("ids_sha256")).alias("own"), "ids")
-    return bpe.decode(made, tokenizer_path(), keep=["own"]).select("own.*", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return made.select("doc_id", "source", "lang", "ids", F.size("ids").cast("bigint").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def _length(column: str, docs: DataFrame):
