@@ -25,11 +25,15 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 TOKEN = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
-#: Words of a block; slots of a shard; slots made in one go; rows of a source's bucket, about; rounds of a permutation.
+#: Words of a block; slots of a shard; slots made in one go, and in a task; rows of a source's bucket, about, and the
+#: most buckets; shards of a group; rounds of a permutation.
 BLOCK = 128
 SHARD = 1024
 CHUNK = 1 << 14
+TASK = 1 << 16
 BUCKET = 256
+BUCKETS = 1 << 20
+GROUP = 1 << 12
 ROUNDS = 24
 
 
@@ -94,7 +98,7 @@ class Mix:
         sized = docs.select(F.struct(*keep).alias("kept"), F.col(source).alias("source"), F.coalesce(F.regexp_count(content, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64(F.coalesce(content, F.lit("")), F.struct(*keep), F.lit(seed)).alias("mark"))
         sized = stored(sized, "sized")
         sources = stored(source_targets(sized), "sources")
-        buckets = max(16, sized.count() // BUCKET)
+        buckets = min(BUCKETS, max(16, sized.count() // BUCKET))
         dealt = sized.withColumn("bucket", F.pmod("mark", F.lit(buckets)))
         sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
         base = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words")
@@ -115,19 +119,34 @@ class Mix:
         return cut.select("sid", "block", "start", F.greatest(F.col("start") - origin, F.lit(0)).alias("from"), F.least(F.col("start") + F.col("size") - origin, F.lit(BLOCK)).alias("upto"))
 
     def slots(self) -> DataFrame:
-        """(shard, sid, rank): every slot of the output. Counts of sources are drawn for each shard, then ranked."""
+        """(shard, sid, rank): every slot of the output. Counts of sources are drawn for each shard, then ranked.
+
+        A shard's counts are a multinomial draw given the quotas, made slot by slot; prefix sums go through groups of shards.
+        """
         partial = F.when(F.col("rest") > 0, F.least(F.col("blocks"), F.ceil(F.col("rest") / F.lit(BLOCK)) + 1)).otherwise(0).cast("bigint")
         quotas = self.sources.withColumn("quota", F.col("epochs") * F.col("blocks") + partial).where("quota > 0")
         running = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         every = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         quotas = quotas.withColumn("offset", F.sum("quota").over(running) - F.col("quota")).withColumn("all", F.sum("quota").over(every))
         chunks = quotas.select("sid", "offset", "quota", "all", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("quota") - 1) / CHUNK))).alias("chunk"))
-        chunks = chunks.repartition(F.col("sid"), F.col("chunk"))
+        # named numbers of tasks: a row here stands for thousands of slots, which planning by bytes can't see
+        chunks = chunks.repartition(self._tasks(), F.col("sid"), F.col("chunk"))
         drawn = chunks.select("sid", "all", F.explode(F.sequence(F.col("offset") + F.col("chunk") * CHUNK, F.col("offset") + F.least(F.col("quota"), (F.col("chunk") + 1) * CHUNK) - 1)).alias("place"))
         shard = F.floor(permuted(F.col("place"), F.col("all"), F.lit(self.seed), F.lit(-1)) / F.lit(SHARD))
-        counts = drawn.select("sid", shard.alias("shard")).groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("count"))
-        ranked = counts.withColumn("upto", F.sum("count").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        return ranked.select("shard", "sid", F.explode(F.sequence(F.col("upto") - F.col("count"), F.col("upto") - 1)).alias("rank"))
+        counts = stored(drawn.select("sid", shard.alias("shard")).groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("count")), "draws")
+        counts = counts.withColumn("group", F.floor(F.col("shard") / GROUP))
+        sums = counts.groupBy("sid", "group").agg(F.sum("count").alias("inside"))
+        first = F.sum("inside").over(Window.partitionBy("sid").orderBy("group").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("inside")
+        bases = sums.select(F.col("sid").alias("s"), F.col("group").alias("g"), first.alias("base"))
+        local = F.sum("count").over(Window.partitionBy("sid", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("count")
+        ranked = counts.withColumn("local", local).join(bases, (F.col("sid") == F.col("s")) & (F.col("group") == F.col("g")))
+        ranked = ranked.select("shard", "sid", (F.col("base") + F.col("local")).alias("first"), "count").repartition(self._tasks(), F.col("sid"), F.col("shard"))
+        return ranked.select("shard", "sid", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("rank"))
+
+    def _tasks(self) -> int:
+        """For all slots, TASK of them to a task; no fewer than the cluster runs at a time."""
+        words = self.sources.agg(F.sum("target").alias("n")).first().n or 0
+        return int(max(self.placed.sparkSession.sparkContext.defaultParallelism, words // (BLOCK * TASK) + 1))
 
     def draws(self) -> DataFrame:
         """(shard, sid, epoch, block, words): the block that fills each slot, and how many of its words are taken.
