@@ -21,16 +21,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import stored
+from lumenspark.llm.common import stored, tidy
 
 #: Fixed values of the format.
 CLOSE = b"\r\n\r\n"
 GZIP = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff"  # no time of writing, an extra field, any system
 LENGTH_FIELD = b"SL"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Payloads below this many bytes are always written out; records of a file at most; level of members.
+#: Payloads below this many bytes are always written out; records of a file at most, and their bytes, about: a whole
+#: file is one value to its reader; level of members.
 LEAST = 100
 RECORDS = 1 << 16
+FILE = 64 << 20
 LEVEL = 6
 
 
@@ -57,6 +59,15 @@ def _record_id(key: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)), F.lit(">"))
 
 
+def _escaped(key: Column) -> Column:
+    """A key that is text has its line ends and percent signs escaped, as the reader undoes."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(key.cast("string"), "%", "%25"), "\r", "%0D"), "\n", "%0A")
+
+
+def _unescaped(value: bytes | None) -> str | None:
+    return value and value.decode().replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+
+
 def record(key: Column, url: Column, payload: Column, digest: Column, first: Column, date: str) -> Column:
     """A WARC record as text, without the two line ends that close it. A revisit has the response's head only."""
     end = F.lit("\r\n")
@@ -70,14 +81,16 @@ def record(key: Column, url: Column, payload: Column, digest: Column, first: Col
     return F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", _record_id(key, digest)), line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.regexp_replace(url, r"[\x00-\x20]", "%20")), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), digest)),
-        line("WARC-Profile", F.when(revisit, PROFILE)), line("WARC-Refers-To", F.when(revisit, _record_id(first, digest))), line("WARC-Page-ID", key.cast("string")), line("WARC-Refers-To-Page-ID", first.cast("string")),
+        line("WARC-Profile", F.when(revisit, PROFILE)), line("WARC-Refers-To", F.when(revisit, _record_id(first, digest))), line("WARC-Page-ID", _escaped(key)), line("WARC-Refers-To-Page-ID", _escaped(first)),
         F.lit("Content-Type: application/http; msgtype=response\r\n"), line("Content-Length", F.octet_length(block).cast("string")), end, block,
     )
 
 
-def write_whole(records: DataFrame, path: str) -> None:
-    """Archives of one gzip stream each, a file for each partition and RECORDS; ``records`` has one string column."""
-    records.write.option("compression", "gzip").option("lineSep", CLOSE.decode()).option("maxRecordsPerFile", RECORDS).text(path)
+def write_whole(records: DataFrame, path: str, each: float = 0) -> None:
+    """Archives of one gzip stream each, a file for each partition and RECORDS, or fewer if they have ``each`` bytes;
+    ``records`` has one string column."""
+    most = max(1, min(RECORDS, int(FILE / max(1, each))))
+    records.write.option("compression", "gzip").option("lineSep", CLOSE.decode()).option("maxRecordsPerFile", most).text(path)
 
 
 def member(data: bytes, level: int = LEVEL) -> bytes:
@@ -137,7 +150,10 @@ def _content_length(head: bytes) -> int:
 
 
 def normalise(spark: SparkSession, source: str, target: str, level: int = LEVEL) -> None:
-    """Rewrites the archives under ``source`` with a member for each record, in the order they had."""
+    """Rewrites the archives under ``source`` with a member for each record, in the order they had.
+
+    An empty archive gives an empty one; equal records stay as many as they are; one that ends early is an error.
+    """
     files = spark.read.format("binaryFile").load(source).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,6 +168,7 @@ def normalise(spark: SparkSession, source: str, target: str, level: int = LEVEL)
                         held, size = [], 0
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["member"])
+        tidy()
 
     made = files.mapInArrow(run, "member binary")
     made.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").text(target)
@@ -225,13 +242,15 @@ def read(spark: SparkSession, archives: str, index: DataFrame | None = None, pay
                     if kind == "response" and (len(payload) != said or hashlib.sha256(payload).hexdigest() != digest):
                         raise ValueError("a payload is not what its record says")
                     key, first = fields.get(b"WARC-Page-ID"), fields.get(b"WARC-Refers-To-Page-ID")
-                    rows.append((key and key.decode(), kind, said, digest, first and first.decode(), payload if payloads and kind == "response" else None))
+                    rows.append((_unescaped(key), kind, said, digest, _unescaped(first), payload if payloads and kind == "response" else None))
                     held += len(payload) if payloads else 64
                     if held > 1 << 22:
                         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                         rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                del content
+        tidy()
 
     made = joined.mapInArrow(run, "page_id string, record_type string, payload_bytes bigint, payload_digest string, refers_to string, payload binary")
     return made.withColumn("payload", F.col("payload").cast("string")) if payloads else made.drop("payload")
@@ -244,6 +263,7 @@ def archive(pages: DataFrame, path: str, key: str = "page_id", html: str = "html
     """
     spark = pages.sparkSession
     typed = with_record_types(pages, key, html, url)
-    write_whole(typed.select(record(*(F.col(c) for c in ("key", "url", "payload", "digest", "first")), date)), f"{path}/whole")
+    each = pages.agg(F.avg(F.octet_length(html)).alias("n")).first().n or 0
+    write_whole(typed.select(record(*(F.col(c) for c in ("key", "url", "payload", "digest", "first")), date)), f"{path}/whole", each)
     normalise(spark, f"{path}/whole", f"{path}/archives", level)
     return write_index(spark, f"{path}/archives", f"{path}/index")

@@ -64,6 +64,16 @@ def test_edge_rows(spark):
     assert warc.read(spark, f"{none}/archives", warc.archive(pages.where("false"), none)).count() == 0
 
 
+def test_keys_of_text(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE", 300)
+    keys = ["a\r\nWARC-Type: revisit", "100%0A", "", "z", None]
+    path = fresh_path(spark, "warc")
+    index = warc.archive(spark.createDataFrame([(k, "h" * 150, "u") for k in keys], "page_id string, html string, url string").coalesce(1), path)
+    got = warc.read(spark, f"{path}/archives", index).collect()
+    assert sorted((str(r.page_id), str(r.refers_to)) for r in got) == sorted((str(k), "None" if k == "" else "") for k in keys)
+    assert index.select("path").distinct().count() == 3  # two records a file
+
+
 def test_query(spark):
     from lumenspark.llm.queries_d import op5_warc
 
