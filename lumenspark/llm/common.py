@@ -88,6 +88,23 @@ def once(rows: DataFrame) -> DataFrame:
     return rows.withColumn(copy, F.row_number().over(Window.partitionBy(*ROW).orderBy(F.lit(1)))).where(F.col(copy) == 1).drop(copy)
 
 
+#: Rows of a key beyond which it may be joined apart, and how many keys that can be at most.
+HOT, HOT_KEYS = 4096, 1024
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """The inner join with a ``right`` that has one row for each key, whatever keys most rows of ``left`` have.
+
+    Keys with over HOT rows and over one row in HOT_KEYS, so no more than HOT_KEYS of them, meet their row by broadcast.
+    ``left`` is read three times: it should be a written or checkpointed frame. Null keys meet nothing.
+    """
+    most = max(HOT, left.count() // HOT_KEYS)
+    hot = right.join(F.broadcast(stored(left.groupBy(*on).count().where(F.col("count") > most).select(*on), "hot")), on, "left_semi")
+    hot = stored(hot, "hot-rows")
+    apart = left.join(F.broadcast(hot), on)
+    return apart.unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right, on))
+
+
 def map_rows(frame: DataFrame, schema: str | T.StructType, fn: Callable[[dict[str, list]], dict[str, list] | None]) -> DataFrame:
     """Applies ``fn`` to the columns of each Arrow batch, as lists; the lists it returns are the new columns."""
     bounded_batches(frame.sparkSession)

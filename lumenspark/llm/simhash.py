@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import ROW, bounded_batches, cut, identified, once, sliced, stored, tidy
+from lumenspark.llm.common import ROW, bounded_batches, cut, identified, once, sliced, spread_join, stored, tidy
 from lumenspark.llm.components import components
 
 #: Fixed values of the contract: XXH64's seed, and the length of the perfect code's words.
@@ -281,7 +281,7 @@ def classes(marked: DataFrame, bits: int, blocks: int | None = None) -> DataFram
     roots = components(fingerprint_links(fps, bits, blocks))
     rooted = cut(fps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(least, "root").select("node", "fp", "root", "component_id")
+    return spread_join(rooted, least, ["root"]).select("node", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, bits: int = 4) -> DataFrame:
@@ -293,8 +293,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     ``docs`` are not looked at.
     """
     marked = cut(fingerprints(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", ["_key"], width))
-    known = classes(marked, bits).select("fp", "component_id")
-    return marked.join(known, "fp").select(F.col("_key").alias(key), F.col("fp")[0].alias("fp"), "component_id")
+    known = cut(classes(marked, bits).select("fp", "component_id"))
+    return spread_join(marked, known, ["fp"]).select(F.col("_key").alias(key), F.col("fp")[0].alias("fp"), "component_id")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -332,8 +332,8 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", width
     joined = cut(nodes.join(components(first), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("group")))
     second = similar(fingerprint_links(joined, bits, blocks), texts, width, least)
     rooted = cut(nodes.join(components(first.unionByName(second)), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    known = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "same", "root", "component_id")
+    known = cut(spread_join(rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id")), ["root"]).select("fp", "same", "root", "component_id"))
     # of the rows with a component's least key, one text and one row stay
-    lowest = marked.join(known, ["fp", "same"]).where(F.col("_key").eqNullSafe(F.col("component_id")))
+    lowest = spread_join(marked, known, ["fp", "same"]).where(F.col("_key").eqNullSafe(F.col("component_id")))
     stays = lowest.groupBy("root").agg(F.min(F.struct("fp", *ROW)).alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in ROW])
     return once(rows.join(stays, ROW)).select(*docs.columns)
