@@ -32,6 +32,9 @@ EXAMPLES = 2000
 NEIGHBOURS = 15
 BLOCK = 64
 COPY = 0.8
+#: Cells of the product of the commonest words, which only settles how much of the work is one product; queries of one.
+DENSE = 1 << 21
+QUERIES = 32
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -48,7 +51,7 @@ def words_of(text: str | None) -> Counter[str]:
 
 def counted(words: Counter[str], vocabulary: dict[str, int]) -> dict[int, int]:
     """Counts of the vocabulary's words, by their numbers."""
-    return {vocabulary[w]: words[w] for w in vocabulary.keys() & words.keys()}
+    return {vocabulary[w]: n for w, n in words.items() if w in vocabulary}
 
 
 def runs_of(text: str | None) -> np.ndarray:
@@ -95,8 +98,8 @@ def class_information(words: np.ndarray, toxic: np.ndarray, size: int, one: int,
 
 @dataclass(frozen=True)
 class Index:
-    """Postings by word and block. Weights of an example and a query are of unit length; ``idf`` is what a word's
-    count is weighed by."""
+    """Postings by word and block. Weights of an example and a query are of unit length; ``idf``
+    is what a word's count is weighed by."""
 
     vocabulary: dict[str, int]
     idf: np.ndarray
@@ -128,37 +131,73 @@ class Index:
             np.searchsorted(feature[first], np.arange(len(vocabulary) + 1)), example[first] // BLOCK, most, np.concatenate([first, [len(entry)]]),
         )
 
-    def nearest(self, features: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0, ties by place, and the cosines. ``without`` is left out."""
-        entries, which = ranges(self.entry_from[features], self.entry_from[features + 1])
-        if not len(entries):
-            return np.zeros(0, np.int64), np.zeros(0)
+    def nearest(self, words: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        return next(self.each_nearest([(words, weights)], k, [without]))
+
+    def each_nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query, the k examples of largest cosine above 0, ties by place, and the cosines. An example that is
+        named in ``without`` is left out.
+
+        What the commonest words give every example is one product for QUERIES queries; other words go through blocks, whose
+        bounds are the best of that in the block and the block's largest weights of the rest.
+        """
+        column, dense = self._common()
+        width = dense.shape[0] // BLOCK
+        for first in range(0, len(queries), QUERIES):
+            some = queries[first : first + QUERIES]
+            asked = np.zeros((len(some), dense.shape[1]))
+            for i, (words, weights) in enumerate(some):
+                at = column[words]
+                asked[i, at[at >= 0]] = weights[at >= 0]
+            for i, ((words, weights), score) in enumerate(zip(some, asked @ dense.T, strict=True)):
+                rare = column[words] < 0
+                yield self._best(words[rare], weights[rare], score, width, k, -1 if without is None else without[first + i])
+
+    def _common(self) -> tuple[np.ndarray, np.ndarray]:
+        """The column of each of the commonest words, -1 for others, and their weights by example, DENSE of them; made once
+        in a worker and left out of what is sent."""
+        if "_made" not in self.__dict__:
+            held = np.diff(self.entry_first[self.entry_from]) if len(self.vocabulary) else np.zeros(0, np.int64)
+            rows = max(1, -(-len(self.toxic) // BLOCK)) * BLOCK
+            words = np.argsort(-held, kind="stable")[: DENSE // rows]
+            column = np.full(len(held), -1)
+            column[words] = np.arange(len(words))
+            dense = np.zeros((rows, len(words)))
+            places, of = ranges(self.entry_first[self.entry_from[words]], self.entry_first[self.entry_from[words + 1]])
+            dense[self.example[places], of] = self.weight[places]
+            object.__setattr__(self, "_made", (column, dense))
+        return self.__dict__["_made"]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_made"}
+
+    def _best(self, words: np.ndarray, weights: np.ndarray, score: np.ndarray, width: int, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """``score`` is what other words give."""
+        if without >= 0:
+            score[without] = -1.0
+        entries, which = ranges(self.entry_from[words], self.entry_from[words + 1])
         blocks, own = self.entry_block[entries], weights[which]
-        bound = np.bincount(blocks, own * self.entry_most[entries])
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        score = np.zeros((len(bound)) * BLOCK)
-        at, wave, least = 0, max(2, -(-2 * k // BLOCK)), 0.0
-        while at < len(order):
+        bound = np.bincount(blocks, own * self.entry_most[entries], width) + score.reshape(width, BLOCK).max(axis=1)
+        order = np.argsort(-bound)
+        least = float(np.partition(score, -k)[-k]) if len(score) >= k else 0.0
+        at, wave = 0, max(2, -(-2 * k // BLOCK))
+        while at < width:
             now = order[at : at + wave]
-            if at:  # in order of their bounds: the rest fails where the first fails; a little is left for rounding
-                now = now[bound[now] * (1 + 1e-9) >= least]
+            now = now[bound[now] * (1 + 1e-9) >= least]  # in order of their bounds: the rest fails where the first fails
             if not len(now):
                 break
-            chosen = np.zeros(len(bound), bool)
+            chosen = np.zeros(width, bool)
             chosen[now] = True
             some = np.flatnonzero(chosen[blocks])
-            places, of = ranges(self.entry_first[entries[some]], self.entry_first[entries[some] + 1])
-            score += np.bincount(self.example[places], self.weight[places] * own[some][of], len(score))
-            if without >= 0:
-                score[without] = 0
-            least = np.partition(score, -k)[-k] if len(score) >= k else 0.0
+            if len(some):
+                places, of = ranges(self.entry_first[entries[some]], self.entry_first[entries[some] + 1])
+                score += np.bincount(self.example[places], self.weight[places] * own[some][of], len(score))
+                if without >= 0:
+                    score[without] = -1.0
+                least = float(np.partition(score, -k)[-k]) if len(score) >= k else 0.0
             at += wave
-            wave = len(order)
-        found = np.flatnonzero(score > 0)
-        if len(found) > k:
-            edge = np.partition(score[found], -k)[-k]
-            found = found[score[found] >= edge]
+            wave = width
+        found = np.flatnonzero(score >= max(least, 1e-12))  # what is less is rounding
         found = found[np.lexsort((found, -score[found]))][:k]
         return found, score[found]
 
@@ -280,7 +319,7 @@ def left_out(spark: SparkSession, index: Index, vectors: list[dict[int, int]]) -
         index, vectors = sent.value
         for batch in batches:
             own = batch.column(0).to_pylist()
-            votes = [vote(index, *index.nearest(*unit(vectors[i], index.idf), NEIGHBOURS, i)) for i in own]
+            votes = [vote(index, *near) for near in index.each_nearest([unit(vectors[i], index.idf) for i in own], NEIGHBOURS, own)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], names=["at", "share"])
         tidy()
 
@@ -301,7 +340,7 @@ def document_frequencies(rows: DataFrame, text: str, vocabulary: dict[str, int])
         for batch in batches:
             for part in sliced(batch):
                 for t in part.column(0).to_pylist():
-                    seen[[own[w] for w in own.keys() & words_of(t).keys()]] += 1
+                    seen[[own[w] for w in words_of(t) if w in own]] += 1
                     n += 1
         seen[size] = n
         held = np.flatnonzero(seen)
@@ -334,8 +373,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", ev
         for batch in batches:
             for part in sliced(batch):
                 scores, proof = [], []
-                for t in part.column(at).to_pylist():
-                    found, cosines = index.nearest(*unit(counted(words_of(t), index.vocabulary), index.idf), NEIGHBOURS)
+                for found, cosines in index.each_nearest([unit(counted(words_of(t), index.vocabulary), index.idf) for t in part.column(at).to_pylist()], NEIGHBOURS):
                     scores.append(model.score(vote(index, found, cosines)))
                     if evidence:
                         proof.append([{"example": str(index.keys[i]), "cosine": c, "toxic": int(index.toxic[i])} for i, c in zip(found[:evidence].tolist(), cosines[:evidence].tolist(), strict=True)])
