@@ -61,7 +61,7 @@ class Condition:
         """One record of how the image is made worse; None for an image that isn't touched."""
         if self.kind == "untouched_input":
             return None
-        out: dict[str, Any] = {"extra": {}}
+        out: dict[str, Any] = {}
         for part in self.parts or (self,):
             match part.family:
                 case "physical_defocus":
@@ -71,8 +71,10 @@ class Condition:
                     out["through_sensor"] = True
                 case "mechanism_comparator":
                     out["comparator"] = (part.kind, part.value)
-                case "rolling_rotation" | "tone_stop_ratio":
-                    out["extra"][part.family] = part.value
+                case "rolling_rotation":  # radians a second about the vertical axis
+                    out["rotation"] = (0.0, part.value, 0.0)
+                case "tone_stop_ratio":
+                    out["tone"] = part.value
         return Severity(**out)
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspark.operators.detection import levels_between
 
 #: Fixed value: the spacing of doubles at 1, which keeps precision finite.
 EPSILON = 2.220446049250313e-16
@@ -48,3 +47,15 @@ def average_precision(curve: DataFrame, group: list[str], points: int = 101) ->
             F.count(F.lit(1)).alias("ranked"),
         )
     )
+
+
+def levels_between(low: Column, high: Column, levels: int = 101) -> Column:
+    """How many of the recall levels k / (levels - 1) are above ``low`` and not above ``high``."""
+    step, last = 1.0 / (levels - 1), levels - 1
+
+    def upto(x: Column) -> Column:
+        k = F.floor(x * last)  # may be one off either way, for k * step is rounded
+        k = k + F.when((k + 1) * F.lit(step) <= x, 1).otherwise(0) - F.when(k * F.lit(step) > x, 1).otherwise(0)
+        return F.least(F.greatest(k + 1, F.lit(0)), F.lit(levels))
+
+    return upto(high) - upto(low)

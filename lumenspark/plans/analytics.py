@@ -107,7 +107,7 @@ def spatial_integral(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def esf_bins(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "lineitem").where("l_linenumber = 1").withColumn("q", F.pow("l_quantity", F.lit(3.0)))
+    rows = table(spark, folder, "lineitem").withColumn("q", F.pow("l_quantity", F.lit(3.0)))
     return _rounded(curves.edge_spread(rows, ["l_returnflag"], "q", "l_extendedprice", 37), "centre", "value", digits=4)
 
 
@@ -225,7 +225,7 @@ o AS (SELECT vec_id, cy, cx, e * (least((y + 1) / 8::DOUBLE, (cy + 1) / 3::DOUBL
   FROM v JOIN g ON y * 3 < (cy + 1) * 8 AND (y + 1) * 3 > cy * 8 AND x * 5 < (cx + 1) * 8 AND (x + 1) * 5 > cx * 8)
 SELECT vec_id, cy AS y, cx AS x, round(sum(w), 7) AS value FROM o GROUP BY ALL""",
     "spatial_integral": f"WITH v AS ({_V}) SELECT vec_id, round(sum(e) * 4e-2::DOUBLE, 7) AS integral FROM v GROUP BY vec_id",
-    "esf_bins": """WITH r AS (SELECT l_returnflag, pow(l_quantity, 3) AS q, l_extendedprice AS v FROM lineitem WHERE l_linenumber = 1), w AS (SELECT l_returnflag, min(q) AS lo, max(q) AS hi FROM r GROUP BY ALL),
+    "esf_bins": """WITH r AS (SELECT l_returnflag, pow(l_quantity, 3) AS q, l_extendedprice AS v FROM lineitem), w AS (SELECT l_returnflag, min(q) AS lo, max(q) AS hi FROM r GROUP BY ALL),
 b AS (SELECT l_returnflag, greatest(least(floor((q - lo) / (hi - lo) * 37), 36), 0)::INTEGER AS bin, avg(v) AS mean FROM r JOIN w USING (l_returnflag) GROUP BY ALL),
 e AS (SELECT w.l_returnflag, g.range::INTEGER AS bin, lo + (g.range + 0.5::DOUBLE) * (hi - lo) / 37 AS c, mean FROM w, range(37) g LEFT JOIN b ON b.l_returnflag = w.l_returnflag AND b.bin = g.range),
 n AS (SELECT *, last_value(CASE WHEN mean IS NOT NULL THEN c END IGNORE NULLS) OVER p AS ax, last_value(mean IGNORE NULLS) OVER p AS ay, first_value(CASE WHEN mean IS NOT NULL THEN c END IGNORE NULLS) OVER f AS bx, first_value(mean IGNORE NULLS) OVER f AS vb
@@ -246,7 +246,7 @@ SELECT a.k AS c_custkey, round(CASE WHEN ax IS NULL THEN vb WHEN bx IS NULL OR a
     "topk_100_cap": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 5",
     "filter_before_limit": "SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'P' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",
     "shard_partition": "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS ordinal, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 250)::BIGINT AS shard FROM orders",
-    "iou_pairs": """WITH b AS (SELECT DISTINCT l_suppkey, l_orderkey * 10 + l_linenumber AS id, l_quantity AS x1, l_discount * 100 AS y1, l_quantity + 10 + l_linenumber AS x2, l_discount * 100 + l_tax * 100 + 1 AS y2 FROM lineitem WHERE l_orderkey % 40 = 0),
+    "iou_pairs": """WITH b AS (SELECT DISTINCT l_suppkey, l_orderkey * 10 + l_linenumber AS id, l_quantity AS x1, l_discount * 100 AS y1, l_quantity + 10 + l_linenumber AS x2, l_discount * 100 + l_tax * 100 + 1 AS y2 FROM lineitem),
 p AS (SELECT a.l_suppkey, a.id, b.id AS other, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s FROM b a JOIN b ON a.l_suppkey = b.l_suppkey AND a.id < b.id)
 SELECT l_suppkey, id, other, round(i / (s - i), 7) AS iou FROM p WHERE i > 0""",
     "merge_coverage": """WITH p AS (SELECT CASE WHEN l_orderkey % 89 = 0 THEN -l_orderkey ELSE l_orderkey END AS id, l_orderkey % 7 AS piece, l_orderkey * 10 + l_linenumber AS n FROM lineitem WHERE l_linenumber = 1 OR l_orderkey % 97 = 0),

@@ -75,6 +75,6 @@ f AS (SELECT coalesce(c.cell, n.cell) AS cell_sha256, rows, images, CASE WHEN c.
 SELECT * FROM f WHERE problem IS NOT NULL""",
     "evidence_tier": """SELECT p_partkey, p_size > 10 AS "large", p_name IS NOT NULL AS named, p_retailprice < 1500 AS cheap,
   CASE WHEN p_size > 10 AND p_name IS NOT NULL AND p_retailprice < 1500 THEN 'publication_protocol_reproduction' ELSE 'exploratory_protocol_variant' END AS tier FROM part""",
-    "stage_graph": """WITH o AS (SELECT o_orderkey AS p FROM orders WHERE o_orderkey % 10 = 0)
+    "stage_graph": """WITH o AS (SELECT o_orderkey AS p FROM orders)
 SELECT p AS pipeline, 5 AS idx, 'illegal edge' AS problem FROM o WHERE p % 70 = 0 UNION ALL SELECT p, 6, 'domain breaks' FROM o WHERE p % 70 = 0 UNION ALL SELECT p, 3, 'units break' FROM o WHERE p % 110 = 0""",
 }
