@@ -33,7 +33,7 @@ NEIGHBOURS = 15
 BLOCK = 64
 COPY = 0.8
 #: Cells of the product of the commonest words, which only settles how much of the work is one product; queries of one.
-DENSE = 1 << 21
+DENSE = 1 << 20
 QUERIES = 32
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -113,13 +113,14 @@ class Index:
     entry_first: np.ndarray  # of each entry's postings, and the end
 
     @classmethod
-    def of(cls, vocabulary: dict[str, int], idf: np.ndarray, vectors: list[dict[int, int]], toxic: list[int], keys: list) -> Index:
-        weighed = [unit(v, idf) for v in vectors]
+    def of(cls, vocabulary: dict[str, int], idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], toxic: list[int], keys: list) -> Index:
+        """``vectors`` are the words of each example and their counts."""
+        rows = [weighed(*v, idf) for v in vectors]
         # examples that share their weightiest feature stand together, so that a block's largest weights are tight
-        order = sorted(range(len(weighed)), key=lambda i: (int(weighed[i][0][np.argmax(weighed[i][1])]) if len(weighed[i][0]) else -1, i))
-        n = [len(weighed[i][0]) for i in order]
-        feature = np.concatenate([weighed[i][0] for i in order] + [np.zeros(0, np.int64)])
-        weight = np.concatenate([weighed[i][1] for i in order] + [np.zeros(0)])
+        order = sorted(range(len(rows)), key=lambda i: (int(rows[i][0][np.argmax(rows[i][1])]) if len(rows[i][0]) else -1, i))
+        n = [len(rows[i][0]) for i in order]
+        feature = np.concatenate([rows[i][0] for i in order] + [np.zeros(0, np.int64)])
+        weight = np.concatenate([rows[i][1] for i in order] + [np.zeros(0)])
         example = np.repeat(np.arange(len(order)), n)
         sort = np.lexsort((example, feature))
         feature, weight, example = feature[sort], weight[sort], example[sort]
@@ -210,12 +211,15 @@ def ranges(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unit(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return weighed(np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts)), idf)
+
+
+def weighed(words: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words in order and their weights, of length 1; those of no weight are left out."""
-    words = np.fromiter(counts.keys(), np.int64, len(counts))
-    weights = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * idf[words]
+    weights = (1 + np.log(counts)) * idf[words]
     some = np.flatnonzero(weights > 0)
     some = some[np.argsort(words[some])]
-    words, weights = words[some], weights[some]
+    words, weights = words[some].astype(np.int64), weights[some]
     length = math.sqrt(float(weights @ weights))
     return (words, weights / length) if length else (words[:0], weights[:0])
 
@@ -294,15 +298,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     held: dict = {}
     for r in looked.select("_key", "words", "counts").toLocalIterator():  # the words of 2 * EXAMPLES texts, a file's at a time
         if r["_key"] in single:
-            held[r["_key"]] = {vocabulary.setdefault(w, len(vocabulary)): n for w, n in zip(r["words"], r["counts"], strict=True)}
+            held[r["_key"]] = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in r["words"]], np.int32), np.array(r["counts"], np.int32)
     order = sorted(vocabulary)  # the same numbers whatever the order of files
     number = np.zeros(len(order), np.int64)
     number[[vocabulary[w] for w in order]] = np.arange(len(order))
     vocabulary = {w: i for i, w in enumerate(order)}
-    held = {k: {int(number[w]): n for w, n in held[k].items()} for k in sorted(held, key=lambda k: (str(k), k))}
+    held = {k: (number[held[k][0]].astype(np.int32), held[k][1]) for k in sorted(held, key=lambda k: (str(k), k))}
     total, frequency = document_frequencies(rows, "_text", vocabulary)
-    places = np.array([w for v in held.values() for w in v], np.int64)
-    classes = np.repeat(np.array([chosen[k] for k in held], np.int64), [len(v) for v in held.values()])
+    places = np.concatenate([w for w, _ in held.values()] or [np.zeros(0, np.int32)])
+    classes = np.repeat(np.array([chosen[k] for k in held], np.int64), np.array([len(w) for w, _ in held.values()], np.int64))
     both = len(set(chosen.values())) == 2
     scale = class_information(places, classes, len(order), one, zero) if both else np.zeros(len(order))
     index = Index.of(vocabulary, (np.log((1 + total) / (1 + frequency)) + 1) * scale, list(held.values()), [chosen[k] for k in held], list(held))
@@ -311,7 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return Model(index, slope, offset, alone)
 
 
-def left_out(spark: SparkSession, index: Index, vectors: list[dict[int, int]]) -> list[float | None]:
+def left_out(spark: SparkSession, index: Index, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[float | None]:
     """The vote on each example of the others, which are as many as the sample's bound; in tasks, not on the driver."""
     sent = spark.sparkContext.broadcast((index, vectors))
 
@@ -319,7 +323,7 @@ def left_out(spark: SparkSession, index: Index, vectors: list[dict[int, int]]) -
         index, vectors = sent.value
         for batch in batches:
             own = batch.column(0).to_pylist()
-            votes = [vote(index, *near) for near in index.each_nearest([unit(vectors[i], index.idf) for i in own], NEIGHBOURS, own)]
+            votes = [vote(index, *near) for near in index.each_nearest([weighed(*vectors[i], index.idf) for i in own], NEIGHBOURS, own)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], names=["at", "share"])
         tidy()
 

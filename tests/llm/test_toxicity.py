@@ -12,7 +12,7 @@ def test_neighbours_equal_brute_force(monkeypatch):
     idf = rng.uniform(0.5, 3, 60)
     for block in (4, 64):
         monkeypatch.setattr(toxicity, "BLOCK", block)
-        index = toxicity.Index.of({str(i): i for i in range(60)}, idf, vectors, [0] * 540, list(range(540)))
+        index = toxicity.Index.of({str(i): i for i in range(60)}, idf, [(np.array(list(v), int), np.array(list(v.values()), float)) for v in vectors], [0] * 540, list(range(540)))
         dense = np.zeros((540, 60))
         for row, key in enumerate(index.keys):
             f, w = toxicity.unit(vectors[key], idf)
