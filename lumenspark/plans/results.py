@@ -48,7 +48,22 @@ a AS (SELECT * FROM (VALUES ('untouched_input', 'baseline', 'untouched_input', N
   UNION ALL SELECT CASE WHEN kind = 'physical' THEN 'physical_w_' ELSE 'comparator_' || kind || '_w_' END || token, CASE WHEN kind = 'physical' THEN 'physical_defocus' ELSE 'mechanism_comparator' END, kind, waves, 1 + row_number() OVER (PARTITION BY kind ORDER BY waves), place FROM w, k),
 c AS (SELECT *, (row_number() OVER (ORDER BY turn, big, small) - 1)::INTEGER AS cell_ordinal FROM d, a WHERE everything OR waves IS NULL OR (kind = 'physical' AND waves IN (0.5, 1.5, 3)))"""
 
+
+
+def _map(**pairs: str) -> str:
+    """SQL of the canonical map of text values, keys in order."""
+    body = " || ".join(f"'s{len(k)}:{k}s' || length({v}) || ':' || {v}" for k, v in sorted(pairs.items()))
+    return f"'m{len(pairs)}{{' || {body} || '}}'"
+
+
 ORACLE_SQL = {
+    "cell_plan": f"""WITH {CELLS},
+h AS (SELECT *, sha256({_map(arm="arm_id", family="family", profile="profile_id")}) AS condition_sha256 FROM c)
+SELECT detector_id, profile_id, arm_id, family, kind, waves, condition_sha256, cell_ordinal, sha256({_map(arm_id="arm_id", condition_sha256="condition_sha256", detector_id="detector_id", profile_id="profile_id")}) AS cell_sha256 FROM h""",
+    "legal_transitions": f"""WITH l AS (SELECT 'ldr' AS mode, string_split('{" ".join(study.LDR)}', ' ') AS d UNION ALL SELECT 'forward', string_split('{" ".join(study.FORWARD)}', ' ')),
+e AS (SELECT mode, unnest(d[:len(d) - 1]) AS source, unnest(d[2:]) AS target FROM l UNION SELECT mode, unnest(d), unnest(d) FROM l
+  UNION SELECT 'ldr', 'linear_rgb_optical', 'output_linear_rgb_signed' UNION SELECT 'forward', 'scene_spectral', 'photosite_expectation')
+SELECT mode, source, target FROM e""",
     "run_manifest": f"""WITH {CELLS},
 i AS (SELECT c_custkey AS image_id, row_number() OVER (ORDER BY c_custkey) - 1 AS ordinal FROM (SELECT DISTINCT c_custkey FROM customer)),
 s AS (SELECT (ordinal // 250)::BIGINT AS shard, min(ordinal)::BIGINT AS first_ordinal, count(*)::BIGINT AS image_count, min(image_id) AS first_image_id, max(image_id) AS last_image_id FROM i GROUP BY 1)
