@@ -29,6 +29,8 @@ def plain(v):
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, duck, name):
+    if name == "iou_pairs":
+        pytest.skip("millions of rows on sf0.01: tests/test_whole_tables.py compares all of sf0.001")
     frame = catalogue.QUERIES[name](spark, FOLDER)
     columns = sorted(frame.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in frame.collect()), key=repr)
