@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ SIMILARITY = 0.8
 CELL = 8192
 #: Pairs compared at a time.
 PAIRS = 1 << 21
+#: Shingles and rows of a group of candidates beyond which its verification is dealt to several cells.
+SHINGLES, MEMBERS = 1 << 18, 2048
 
 
 def shingle_hashes(data: bytes | None, width: int) -> np.ndarray:
@@ -160,18 +163,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[tied], nodes[label[tied]]
 
 
-def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each unordered pair once, the lesser value first."""
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def links(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, role: np.ndarray, bits: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Forest of the links within the cells; rows are sorted by cell. Role 1: asks; 2: is asked; 3: both.
-
-    With ``group``, each link between different groups instead.
-    """
-    slim = forest if group is None else distinct
+def links(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, role: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forest of the links within the cells; rows are sorted by cell. Role 1: asks; 2: is asked; 3: both."""
     bounds = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
     found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     size = np.repeat(np.diff(bounds), np.diff(bounds))
@@ -197,14 +190,12 @@ def links(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, role: np.ndarray,
                 if len(words) > 1:
                     i, j, apart = i[near], j[near], apart[near]
             near = (apart <= bits) & (node[i] != node[j]) & asked[j]
-            if group is not None:
-                near &= group[i] != group[j]
             if near.any():
-                a, b = slim(node[i[near]], node[j[near]])
+                a, b = forest(node[i[near]], node[j[near]])
                 found_a.append(a)
                 found_b.append(b)
         at = upto
-    return slim(np.concatenate(found_a), np.concatenate(found_b))
+    return forest(np.concatenate(found_a), np.concatenate(found_b))
 
 
 def fingerprint_links(fps: DataFrame, bits: int, blocks: int | None = None) -> DataFrame:
@@ -213,11 +204,9 @@ def fingerprint_links(fps: DataFrame, bits: int, blocks: int | None = None) -> D
     ``fps`` has a bigint ``node`` and array ``fp`` for each distinct fingerprint. All links are found whose blocks leave one
     with a step at most; with the default number of blocks that is every link. Cells take an anchor's rows; an anchor
     with more than CELL rows is dealt to a square of cells, each row to a line of them, so that no task holds an
-    unbounded group. Where ``fps`` has a bigint ``group``, all links between different groups are given, some repeated.
+    unbounded group.
     """
     blocks = blocks or bits // 2 + 1
-    grouped = "group" in fps.columns
-    extra = ["group"] * grouped
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,13 +215,13 @@ def fingerprint_links(fps: DataFrame, bits: int, blocks: int | None = None) -> D
                 nodes, values = np.asarray(part.column(0)), np.asarray(part.column(1).flatten()).view(np.uint64).reshape(part.num_rows, -1)
                 for anchor, row, home in anchors(values, blocks):
                     offsets = pa.array(np.arange(0, row.size * values.shape[1] + 1, values.shape[1], dtype=np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(nodes[row]), pa.ListArray.from_arrays(offsets, pa.array(values[row].view(np.int64).ravel())), pa.array(home), *[pa.array(np.asarray(c)[row]) for c in part.columns[2:]]], names=["anchor", "node", "fp", "home", *extra])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(nodes[row]), pa.ListArray.from_arrays(offsets, pa.array(values[row].view(np.int64).ravel())), pa.array(home)], names=["anchor", "node", "fp", "home"])
         tidy()
 
     wide = fps.select(F.size("fp")).first()
     wide = wide[0] if wide else 1
-    placed = fps.select("node", "fp", *extra).mapInArrow(replicate, "anchor bigint, node bigint, fp array<bigint>, home boolean" + ", group bigint" * grouped)
-    placed = placed.select("anchor", "node", "home", *extra, *[F.col("fp")[k].alias(f"w{k}") for k in range(wide)])
+    placed = fps.select("node", "fp").mapInArrow(replicate, "anchor bigint, node bigint, fp array<bigint>, home boolean")
+    placed = placed.select("anchor", "node", "home", *[F.col("fp")[k].alias(f"w{k}") for k in range(wide)])
     # written, so that the planner knows how small it is and needn't deal the replicas out for it
     hot = stored(placed.groupBy("anchor").count().where(F.col("count") > CELL).select(F.col("anchor").alias("hot"), F.ceil(F.col("count") / CELL).cast("int").alias("side")), "hot")
     dealt = placed.join(hot, placed.anchor == hot.hot, "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("side", F.lit(1))).cast("int"))
@@ -245,13 +234,13 @@ def fingerprint_links(fps: DataFrame, bits: int, blocks: int | None = None) -> D
     asked = F.transform(every, lambda k: F.struct(cells(k, F.col("own")).alias("cell"), F.lit(2).alias("role")))
     asking = F.when(F.col("home"), F.transform(every, lambda k: F.struct(cells(F.col("own"), k).alias("cell"), F.lit(1).alias("role")))).otherwise(F.array())
     names = [f"w{k}" for k in range(wide)]
-    spread = dealt.select("node", *extra, *names, F.inline(F.when(F.col("side").isNull(), one).otherwise(F.concat(asked, asking))))
+    spread = dealt.select("node", *names, F.inline(F.when(F.col("side").isNull(), one).otherwise(F.concat(asked, asking))))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
         def of(node: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
-            a, b = links(rest[-2], node, np.stack([w.view(np.uint64) for w in rest[grouped:-2]], axis=1), rest[-1], bits, rest[0] if grouped else None)
+            a, b = links(rest[-2], node, np.stack([w.view(np.uint64) for w in rest[:-2]], axis=1), rest[-1], bits)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
@@ -297,41 +286,118 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     return spread_join(marked, known, ["fp"]).select(F.col("_key").alias(key), F.col("fp")[0].alias("fp"), "component_id")
 
 
-def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles share ``least`` or more of their union. ``texts`` has node and _text."""
-    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def verified(node: np.ndarray, line: np.ndarray, fp: np.ndarray, sizes: np.ndarray, shingles: np.ndarray, bits: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of one cell's links: pairs of up to ``bits`` places whose sets share ``least`` or more of their union.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``shingles`` are the rows' sets, one after the other, ``sizes`` long. Rows of line 2 meet all rows, others those of the
+    other line. Rows that links already join are not compared again.
+    """
+    starts = np.cumsum(sizes) - sizes
+    known, numbers = np.unique(shingles, return_inverse=True)
+    own = np.zeros(len(known), bool)
+    group = np.arange(len(node))
+    found: list[tuple[int, int]] = []
+    for i in range(len(node) - 1):
+        if not sizes[i]:
+            continue
+        n = sizes[i + 1 :]
+        able = (group[i + 1 :] != group[i]) & (np.minimum(n, sizes[i]) >= least * np.maximum(n, sizes[i]) - 1e-9)
+        if line[i] != 2:
+            able &= line[i + 1 :] != line[i]
+        j = np.flatnonzero(able) + i + 1
+        j = j[np.bitwise_count(fp[j] ^ fp[i]).sum(axis=1) <= bits]
+        if not len(j):
+            continue
+        n = sizes[j]
+        first = np.cumsum(n) - n
+        mine = numbers[starts[i] : starts[i] + sizes[i]]
+        own[mine] = True
+        shared = np.add.reduceat(own[numbers[np.arange(n.sum()) - np.repeat(first - starts[j], n)]], first, dtype=np.int64)
+        own[mine] = False
+        j = j[shared >= least * (sizes[i] + n - shared) - 1e-9]
+        if len(j):
+            labels, at = np.unique(group[j], return_index=True)
+            found += [(i, k) for k in j[at].tolist()]
+            group[np.isin(group, labels)] = group[i]
+    ends = np.array(found, np.int64).reshape(-1, 2)
+    return node[ends[:, 0]], node[ends[:, 1]]
+
+
+def similar(members: DataFrame, width: int, words: int, bits: int, least: float) -> DataFrame:
+    """Edges (a, b) whose components are those of the links within each group of candidates.
+
+    ``members`` has node, fp, group and _text. A link is a pair of one group that differs in ``bits`` or fewer places and whose
+    sets of shingles share ``least`` or more of their union. Groups are compared in cells, which emit forests, never pairs; one of
+    over SHINGLES shingles or MEMBERS rows is dealt to a triangle of cells, so that no task holds an unbounded group.
+    """
+    names = [f"w{k}" for k in range(words)]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch):
-                sets = [np.unique(shingle_hashes(x, width)).view(np.int64) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+                sets = [np.unique(shingle_hashes(x, width)).view(np.int64) for x in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sets, pa.list_(pa.int64()))], names=["node", "group", *names, "shingles"])
+        tidy()
+
+    slim = members.select("node", "group", *[F.col("fp")[k].alias(c) for k, c in enumerate(names)], F.col("_text").cast("binary").alias("_data"))
+    sets = stored(slim.mapInArrow(hashed, ", ".join(f"`{c}` bigint" for c in ("node", "group", *names)) + ", shingles array<bigint>"), "shingles")
+    sizes = sets.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("total"))
+    side = F.least("n", F.greatest(F.ceil(F.col("total") / SHINGLES), F.ceil(F.col("n") / MEMBERS))).cast("int")
+    # written, so that the planner knows how small it is
+    hot = stored(sizes.select(F.col("group").alias("hot"), side.alias("side")).where("side > 1"), "hot")
+    dealt = sets.join(hot, sets.group == hot.hot, "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("side", F.lit(1))).cast("int"))
+    own = F.col("own")
+    line = lambda k: F.when(own == k, 2).when(own < k, 0).otherwise(1)
+    cells = F.transform(F.sequence(F.lit(0), F.coalesce("side", F.lit(1)) - 1), lambda k: F.struct(F.xxhash64("group", F.least(own, k), F.greatest(own, k)).alias("cell"), line(k).alias("line")))
+    spread = dealt.select("node", *names, "shingles", F.inline(cells))
+
+    def of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        cell, node, place = (rows[c].to_numpy() for c in ("cell", "node", "line"))
+        fp = np.stack([rows[c].to_numpy().view(np.uint64) for c in names], axis=1)
+        lists = rows["shingles"].combine_chunks()
+        count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        values, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(count)])
+        bounds = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+        for low, high in zip(bounds, bounds[1:], strict=False):
+            if high - low > 1:
+                a, b = verified(node[low:high], place[low:high], fp[low:high], count[low:high], values[ends[low] : ends[high]], bits, least)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            now = now if held is None else pa.concat_tables([held, now])
+            cell = now["cell"].to_numpy()
+            last = int(np.searchsorted(cell, cell[-1], "left"))
+            if last:
+                yield from of(now.slice(0, last))
+            held = now.slice(last)
+        if held is not None:
+            yield from of(held)
+        held = now = None
         tidy()
 
-    own = texts.join(ends, "node", "left_semi").select("node", F.col("_text").cast("binary").alias("_data"))
-    own = stored(own.mapInArrow(run, "node bigint, shingles array<bigint>"), "shingles")
-    both = pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    both = both.withColumn("_n", F.size(F.array_intersect("x", "y")))
-    return stored(both.where(F.col("_n") >= F.lit(least) * (F.size("x") + F.size("y") - F.col("_n")) - 1e-9).select("a", "b"), "similar")
+    return stored(spread.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a bigint, b bigint"), "similar")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, words: int = WORDS, blocks: int = BLOCKS, bits: int = BITS, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each component the row of least key stays, once if it is repeated.
 
     Links are pairs whose sets of shingles share ``least`` or more, computed from the sets. Fingerprints of ``words``
-    words only bring the candidates: pairs of up to ``bits`` places that leave some block with a step at most. A forest
-    of the candidates is verified first, then every candidate that its links leave in different components. Texts
-    without words are equal and one of them stays.
+    words only bring the candidates: pairs of up to ``bits`` places that leave some block with a step at most join groups, and
+    each group is verified within. Texts without words are equal and one of them stays.
     """
     rows = identified(docs)
     marked = stored(fingerprints(rows.select(*ROW, F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", [*ROW, "_key"], width, words, sets=True), "marked")
     nodes = cut(marked.groupBy("fp", "same").agg(F.min("_key").alias("least"), F.min(F.struct(*ROW)).alias("_row")).withColumn("node", F.xxhash64("fp", "same")))
-    texts = once(rows.select(*ROW, F.col(text).alias("_text")).join(nodes.select("node", *[F.col(f"_row.{c}").alias(c) for c in ROW]), ROW))
-    first = similar(fingerprint_links(nodes, bits, blocks), texts, width, least)
-    joined = cut(nodes.join(components(first), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("group")))
-    second = similar(fingerprint_links(joined, bits, blocks), texts, width, least)
-    rooted = cut(nodes.join(components(first.unionByName(second)), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    near = components(fingerprint_links(nodes, bits, blocks)).withColumnRenamed("root", "group")
+    asked = nodes.join(near, "node").select("node", "fp", "group", *[F.col(f"_row.{c}").alias(c) for c in ROW])
+    links = similar(once(rows.select(*ROW, F.col(text).alias("_text")).join(asked, ROW)), width, words, bits, least)
+    rooted = cut(nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
     known = cut(spread_join(rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id")), ["root"]).select("fp", "same", "root", "component_id"))
     # of the rows with a component's least key, one text and one row stay
     lowest = spread_join(marked, known, ["fp", "same"]).where(F.col("_key").eqNullSafe(F.col("component_id")))
