@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +25,23 @@ def srgb_encode(linear: Column) -> Column:
     return F.when(linear <= ENCODE_EDGE, linear * SLOPE).otherwise(SCALE * F.pow(linear, F.lit(1 / POWER)) - OFFSET)
 
 
+@dataclass(frozen=True)
+class Colorimetry:
+    """A colour space: its primaries and white as (x, y), and the weights of its luminance, positive and of sum 1."""
+
+    name: str = "srgb"
+    primaries: tuple[tuple[float, float], ...] = ((0.64, 0.33), (0.30, 0.60), (0.15, 0.06))
+    white: tuple[float, float] = (0.3127, 0.3290)
+    weights: tuple[float, float, float] = LUMINANCE
+
+    def __post_init__(self) -> None:
+        points = (*self.primaries, self.white)
+        if not self.name.strip() or len(self.primaries) != 3 or any(len(p) != 2 or not (p[0] >= 0 and p[1] > 0 and sum(p) <= 1) for p in points):
+            raise ValueError("a colour space has a name, three primaries and a white within the diagram")
+        if len(self.weights) != 3 or not all(0 < w < math.inf for w in self.weights) or abs(sum(self.weights) - 1) > 1e-12:
+            raise ValueError("luminance weights are positive and of sum 1")
+
+
 def luminance(r: Column, g: Column, b: Column) -> Column:
     """The weighted sum, scaled by the largest channel so that it neither over- nor underflows on the way."""
     top = F.greatest(F.abs(r), F.abs(g), F.abs(b))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenspark.functions.identity import canonical_sha256
 from lumenspark.operators import kernels as K
 from lumenspark.operators.frames import Profile
 
@@ -112,3 +113,60 @@ def report(spark: SparkSession, profile: Profile, severities: tuple[float, ...]
 
     rows = spark.createDataFrame(jobs, "severity double, channel int").repartition(len(jobs))
     return rows.mapInPandas(run, SCHEMA)
+
+
+MATCHES = "family string, waves double, target_mtf50 double, neutral_at_target double, parameter double, achieved_mtf50 double, relative_error double, config_sha256 string"
+
+
+def _bracket(f: Callable[[float], float], step: float, factor: float) -> tuple[float, float]:
+    """The first two values between which a response falls to its target: steps that grow by the factor, or equal ones."""
+    low, high = 0.0, step
+    while f(high) > 0:
+        low, high = high, high * factor if factor > 1 else high + step
+        if high > 512:
+            raise ValueError("no strength up to 512 reaches the target")
+    return low, high
+
+
+def matched(profile: Profile, waves: float, size: int = 257, fraction: float = 0.999) -> Iterator[tuple]:
+    """The three comparators which, after best focus, cross one half where the defocused optics do."""
+    if waves <= 0:
+        raise ValueError("a match needs defocus")
+    light = np.array([0.2126, 0.7152, 0.0722])
+
+    def mixed(kernels: list[np.ndarray]) -> np.ndarray:
+        n = max(len(k) for k in kernels)
+        return sum(w * np.pad(k, (n - len(k)) // 2) for w, k in zip(light, kernels, strict=True))
+
+    (f, neutral), defocused = (K.kernel_mtf(mixed(profile.kernels(w))) for w in (0.0, waves))
+    target = K.crossing(*defocused)
+    if target is None:
+        raise ValueError("the target lies beyond the sampling limit")
+    before = float(np.interp(target, f, neutral))
+    responses = {
+        "gaussian": lambda v: np.interp(f, *K.kernel_mtf(K.gaussian_kernel(v))),
+        "quadratic_cosine": lambda v: np.cos(2 * v * f**2),
+        "sampled_incoherent": lambda v: np.interp(f, *K.kernel_mtf(K.incoherent_kernel(v, size, fraction))),
+    }
+    for family, response in responses.items():
+        if family == "quadratic_cosine":
+            strength = math.acos(0.5 / before) / (2 * target**2)
+        else:
+            short = lambda v, r=response: before * float(np.interp(target, f, r(v))) - 0.5
+            strength = K.root(short, *_bracket(short, 0.25, 2.0 if family == "gaussian" else 1.0))
+        got = K.crossing(f, neutral * response(strength))
+        config = {"family": family, "parameter": strength} | ({"size": size, "fraction": fraction} if family == "sampled_incoherent" else {})
+        yield family, waves, target, before, strength, got, abs(got / target - 1), canonical_sha256(config)
+
+
+def match_grid(spark: SparkSession, profile: Profile, waves: tuple[float, ...]) -> DataFrame:
+    """MATCHES of each severity, which are different and one at least: one task a severity."""
+    if not waves or len(set(waves)) != len(waves):
+        raise ValueError("severities are different, one at least")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for w in part["waves"]:
+                yield pd.DataFrame(list(matched(profile, float(w))), columns=[c.split()[0] for c in MATCHES.split(", ")])
+
+    return spark.createDataFrame([(float(w),) for w in waves], "waves double").repartition(len(waves)).mapInPandas(run, MATCHES)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspark.operators import results, study
+from lumenspark.operators import provenance, results, study
+from lumenspark.operators.provenance import key_text
 from lumenspark.sources.tables import table
 
 _ABOUT = {"study_plan_sha256": "plan", "detector_id": "first", "profile_id": "primary"}
@@ -38,7 +39,20 @@ def builtin_profiles(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("profile_id", "height", "width", *[F.round(c, 6).alias(c) for c in ("pitch_um", "f_number", "sampling", "first_zero_px")])
 
 
-QUERIES = {f.__name__: f for f in (run_manifest, secondary_results, primary_results, builtin_profiles)}
+def artifact_identities(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text as an artifact."""
+    rows = provenance.artifacts(table(spark, folder, "documents"), "doc_id", "text")
+    return rows.withColumn("identity", F.sha2(provenance.artifact_canonical(F.col("name"), F.col("bytes"), F.col("sha256")), 256))
+
+
+def model_identities(spark: SparkSession, folder: str) -> DataFrame:
+    """Regions as models, their nations as artifacts."""
+    nations = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = nations.select("r_name", F.col("n_name").alias("name"), F.octet_length("n_name").cast("bigint").alias("bytes"), F.sha2("n_name", 256).alias("sha256"))
+    return provenance.models(rows, "r_name", "table")
+
+
+QUERIES = {f.__name__: f for f in (artifact_identities, model_identities, run_manifest, secondary_results, primary_results, builtin_profiles)}
 
 #: The plan's cells from the rule: arms in order for each detector and profile.
 CELLS = """d AS (SELECT * FROM (VALUES ('first', 'primary', true, 0), ('first', 'replication', true, 1), ('second', 'primary', false, 2), ('third', 'primary', false, 3), ('fourth', 'primary', false, 4)) t(detector_id, profile_id, everything, turn)),
@@ -56,7 +70,14 @@ def _map(**pairs: str) -> str:
     return f"'m{len(pairs)}{{' || {body} || '}}'"
 
 
+_ARTIFACT = f"'m3{{{key_text('bytes')}i' || bytes || ';{key_text('name')}s' || strlen(name) || ':' || name || '{key_text('sha256')}s64:' || sha256 || '}}'"
+
 ORACLE_SQL = {
+    "artifact_identities": f"""WITH a AS (SELECT doc_id::VARCHAR AS name, strlen(coalesce(text, ''))::BIGINT AS bytes, sha256(coalesce(text, '')) AS sha256 FROM documents)
+SELECT *, sha256({_ARTIFACT}) AS identity FROM a""",
+    "model_identities": f"""WITH a AS (SELECT r_name, n_name AS name, strlen(n_name) AS bytes, sha256(n_name) AS sha256 FROM nation JOIN region ON n_regionkey = r_regionkey),
+m AS (SELECT r_name AS model_id, count(*)::INTEGER AS artifacts, string_agg({_ARTIFACT}, '' ORDER BY name) AS body FROM a GROUP BY 1)
+SELECT model_id, artifacts, sha256('m6{{{key_text('artifacts')}a' || artifacts || '[' || body || ']{key_text('backend')}s5:table{key_text('identity_verified')}b1;{key_text('implementation')}n;{key_text('model_id')}s' || strlen(model_id) || ':' || model_id || '{key_text('revision')}n;}}') AS model_sha256 FROM m""",
     "cell_plan": f"""WITH {CELLS},
 h AS (SELECT *, sha256({_map(arm="arm_id", family="family", profile="profile_id")}) AS condition_sha256 FROM c)
 SELECT detector_id, profile_id, arm_id, family, kind, waves, condition_sha256, cell_ordinal, sha256({_map(arm_id="arm_id", condition_sha256="condition_sha256", detector_id="detector_id", profile_id="profile_id")}) AS cell_sha256 FROM h""",
