@@ -96,11 +96,16 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """The inner join with a ``right`` that has one row for each key, whatever keys most rows of ``left`` have.
 
     Keys with over HOT rows and over one row in HOT_KEYS, so no more than HOT_KEYS of them, meet their row by broadcast.
-    ``left`` is read three times: it should be a written or checkpointed frame. Null keys meet nothing.
+    Without such keys it is a plain join. ``left`` is read up to four times: it should be a written or checkpointed frame. Null
+    keys meet nothing.
     """
-    most = max(HOT, left.count() // HOT_KEYS)
-    hot = right.join(F.broadcast(stored(left.groupBy(*on).count().where(F.col("count") > most).select(*on), "hot")), on, "left_semi")
-    hot = stored(hot, "hot-rows")
+    rows = left.count()
+    if rows <= HOT:
+        return left.join(right, on)
+    keys = stored(left.groupBy(*on).count().where(F.col("count") > max(HOT, rows // HOT_KEYS)).select(*on), "hot")
+    if keys.isEmpty():
+        return left.join(right, on)
+    hot = stored(right.join(F.broadcast(keys), on, "left_semi"), "hot-rows")
     apart = left.join(F.broadcast(hot), on)
     return apart.unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right, on))
 

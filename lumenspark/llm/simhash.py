@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenspark.llm.common import ROW, bounded_batches, cut, identified, once, sliced, spread_join, stored, tidy
-from lumenspark.llm.components import components
+from lumenspark.llm.components import components, forest
 
 #: Fixed values of the contract: XXH64's seed, and the length of the perfect code's words.
 SEED = 42
@@ -143,26 +143,6 @@ def anchors(fps: np.ndarray, blocks: int) -> Iterator[tuple[np.ndarray, np.ndarr
         yield name | near[new], np.repeat(rows[even], new.sum(axis=1)), np.zeros(int(new.sum()), bool)
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links a-b: each value but the least of its group, and that least."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, label[u], low)
-        np.minimum.at(new, label[v], low)
-        np.minimum.at(new, u, low)
-        np.minimum.at(new, v, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    tied = label != np.arange(len(nodes))
-    return nodes[tied], nodes[label[tied]]
-
-
 def links(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, role: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Forest of the links within the cells; rows are sorted by cell. Role 1: asks; 2: is asked; 3: both."""
     bounds = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))

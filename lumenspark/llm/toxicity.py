@@ -286,19 +286,25 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             for part in sliced(batch):
                 found = [words_of(t) for t in part.column(1).to_pylist()]
                 runs = [runs_of(t).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32())), pa.array(runs, pa.binary())], names=["_key", "_toxic", "words", "counts", "runs"])
+                words = ["\n".join(f).encode() for f in found]
+                counts = [np.fromiter(f.values(), np.int32, len(f)).tobytes() for f in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *[pa.array(x, pa.binary()) for x in (words, counts, runs)]], names=["_key", "_toxic", "words", "counts", "runs"])
         tidy()
 
     kind = rows.schema["_key"].dataType.simpleString()
-    looked = stored(examples.select("_key", "_text", "_toxic").mapInArrow(look, f"_key {kind}, _toxic int, words array<string>, counts array<int>, runs binary"), "examples")
+    # words and counts as bytes, since lists of strings would be objects one by one in the driver's JVM
+    looked = stored(examples.select("_key", "_text", "_toxic").mapInArrow(look, f"_key {kind}, _toxic int, words binary, counts binary, runs binary"), "examples")
     single = without_copies([(r["_key"], r["_toxic"], np.frombuffer(r["runs"], np.uint32)) for r in looked.select("_key", "_toxic", "runs").collect()])
+    tidy()  # here too, since the driver's Python would keep what its allocators hold until the session ends
     chosen = {r["_key"]: r["_toxic"] for r in picked if r["_key"] in single}
     one, zero = max(1, sum(chosen.values())), max(1, len(chosen) - sum(chosen.values()))
     vocabulary: dict[str, int] = {}
     held: dict = {}
     for r in looked.select("_key", "words", "counts").toLocalIterator():  # the words of 2 * EXAMPLES texts, a file's at a time
         if r["_key"] in single:
-            held[r["_key"]] = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in r["words"]], np.int32), np.array(r["counts"], np.int32)
+            counts = np.frombuffer(r["counts"], np.int32).copy()
+            words = r["words"].decode().split("\n") if len(counts) else []
+            held[r["_key"]] = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32), counts
     order = sorted(vocabulary)  # the same numbers whatever the order of files
     number = np.zeros(len(order), np.int64)
     number[[vocabulary[w] for w in order]] = np.arange(len(order))
@@ -312,6 +318,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     index = Index.of(vocabulary, (np.log((1 + total) / (1 + frequency)) + 1) * scale, list(held.values()), [chosen[k] for k in held], list(held))
     shares = left_out(spark, index, [held[k] for k in index.keys])
     slope, offset, alone = calibrated(shares, index.toxic.tolist(), (totals.get(0, 0) / zero, totals.get(1, 0) / one))
+    del held, places, classes
+    tidy()
     return Model(index, slope, offset, alone)
 
 
